@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import idcodec, packing, toxicity, viterbi
+from twinscope.llm import idcodec, licences, packing, quality, toxicity, viterbi
 from twinscope.llm.common import table
 
 
@@ -17,6 +17,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree of sources, languages and runs of a thousand ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -38,6 +49,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_toxicity, op6_best_fit_packing, op8_token_id_output, op10_sentencepiece)
+    for f in (op1_license_scan, op2_line_quality, op5_toxicity, op6_best_fit_packing, op8_token_id_output, op10_sentencepiece)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_quality": quality.ORACLE}
