@@ -37,14 +37,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts hold about `most` bytes; a longer text comes alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Runs of at most `rows` rows whose texts hold about `most` bytes; a longer text comes alone."""
     texts = batch.column(column)
     if batch.num_rows == 0:
         return
     sizes = _lengths(texts)
     group = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    cuts = sorted({*range(0, batch.num_rows, rows), *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows})
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
 
@@ -137,3 +137,38 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 
 def hashed_rows(*cols: str):
     return F.xxhash64(*cols)
+
+
+class Bloom:
+    """A filter of a fixed number of bits over 64-bit hashes: it may let others pass, never loses a member.
+
+    Its size is bounded whatever the number of members, so it can be broadcast.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @classmethod
+    def of(cls, hashes: DataFrame, most_bits: int = 28) -> Bloom:
+        """hashes: one long column `h`. At most 2**(most_bits - 6) words come to the driver."""
+        hashes = hashes.where(F.col("h").isNotNull())
+        bits = min(most_bits, max(16, (12 * hashes.count()).bit_length()))
+        mask = (1 << bits) - 1
+        places = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 34).bitwiseAND(mask)))
+        rows = hashes.select(places.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w")).toPandas()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[rows["i"].to_numpy().astype(np.int64)] = rows["w"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(words, bits)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        h, mask = h.astype(np.int64).view(np.uint64), np.uint64((1 << self.bits) - 1)
+        out = np.ones(len(h), bool)
+        for p in (h & mask, (h >> np.uint64(34)) & mask):
+            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def whole(batches, *names: str) -> list[np.ndarray]:
+    """Columns of all batches of a partition as arrays."""
+    got = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
+    return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64) for _ in names]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import idcodec, licences, packing, quality, toxicity, viterbi
+from twinscope.llm import ann, idcodec, jaccard, licences, packing, quality, toxicity, viterbi
 from twinscope.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = idcodec.ids_path(spark)
     idcodec.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
@@ -49,6 +57,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_line_quality, op5_toxicity, op6_best_fit_packing, op8_token_id_output, op10_sentencepiece)
+    for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op10_sentencepiece)
 }
 ORACLES: dict[str, str] = {"op2_line_quality": quality.ORACLE}
