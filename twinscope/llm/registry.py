@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import ann, idcodec, jaccard, licences, packing, quality, toxicity, viterbi
+from twinscope.llm import ann, idcodec, jaccard, licences, packing, quality, suffixes, toxicity, viterbi
 from twinscope.llm.common import table
 
 
@@ -51,12 +51,16 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcodec.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op10_sentencepiece)
+    for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op9_suffix_dedup, op10_sentencepiece)
 }
 ORACLES: dict[str, str] = {"op2_line_quality": quality.ORACLE}
