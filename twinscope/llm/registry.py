@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm import ann, idcodec, jaccard, licences, packing, quality, suffixes, toxicity, viterbi
+from twinscope.llm import ann, idcodec, jaccard, licences, lines, packing, quality, suffixes, toxicity, viterbi
 from twinscope.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +66,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op9_suffix_dedup, op10_sentencepiece)
+    for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op4_line_dedup, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op9_suffix_dedup, op10_sentencepiece)
 }
 ORACLES: dict[str, str] = {"op2_line_quality": quality.ORACLE}
