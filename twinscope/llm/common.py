@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,3 +173,16 @@ def whole(batches, *names: str) -> list[np.ndarray]:
     """Columns of all batches of a partition as arrays."""
     got = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64) for _ in names]
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids. A Bloom filter keeps most other rows out of the join."""
+    ids = ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))))
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(picked.value.has(h.to_numpy()))
+
+    marked = docs.withColumn("hit", hit(F.xxhash64(F.col("doc_id").cast("long"))))
+    return marked.where("not hit").drop("hit").unionByName(marked.where("hit").drop("hit").join(ids, "doc_id", "left_anti"))

@@ -368,6 +368,31 @@ def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     return clean.select(*names).unionByName(rest.select(*names))
 
 
+def rewritten(deduped: DataFrame) -> DataFrame:
+    """The columns of the documents, with text less its spans; a span gives up the bytes of characters it only cuts."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(text, spans, strict=True):
+            if t is None or not len(found):
+                out.append(t)
+                continue
+            raw, at, parts = t.encode(), 0, []
+            for s in found:
+                a, b = s["s"], s["e"]
+                while a < b and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                parts.append(raw[at:a])
+                at = b
+            out.append(b"".join([*parts, raw[at:]]).decode())
+        return pd.Series(out, dtype=object)
+
+    return deduped.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).drop("kept")
+
+
 def digest(deduped: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["e"] - s["s"])
     return deduped.select(

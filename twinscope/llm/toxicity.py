@@ -230,3 +230,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(shared.value.scores(part.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
