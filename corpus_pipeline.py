@@ -18,10 +18,18 @@ from twinscope.llm.registry import tokenizer_path
 _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+def _slim(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all columns in one, so that no name clashes with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+
+
+def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with the new text and its length."""
+    old = lambda c: F.col(f"row.`{c}`")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text")).otherwise(old("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, old(c)).alias(c) for c in docs.columns))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +37,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup(docs).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(_HAS_WORD))
-    return _counted(out, docs.columns)
+    out = lines.dedup(_slim(docs)).where(F.col("text").isNull() | (F.col("n_removed") == 0) | F.col("text").rlike(_HAS_WORD))
+    return _restored(out, docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +47,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffixes.rewritten(suffixes.dedup(docs)).where(F.col("text").isNull() | (F.size("spans") == 0) | F.col("text").rlike(_HAS_WORD))
-    return _counted(out, docs.columns)
+    out = suffixes.rewritten(suffixes.dedup(_slim(docs))).where(F.col("text").isNull() | (F.size("spans") == 0) | F.col("text").rlike(_HAS_WORD))
+    return _restored(out, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Runs of at most `rows` rows whose texts hold about `most` bytes; a longer text comes alone."""
     texts = batch.column(column)
     if batch.num_rows == 0:
@@ -108,7 +108,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size > 1 << 23:  # one very long text; not kept
+        if size > 1 << 21:  # one very long text; not kept
             return have[:n]
         _POWERS[base] = have
     return have[:n]
@@ -184,5 +184,6 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def hit(h: pd.Series) -> pd.Series:
         return pd.Series(picked.value.has(h.to_numpy()))
 
-    marked = docs.withColumn("hit", hit(F.xxhash64(F.col("doc_id").cast("long"))))
-    return marked.where("not hit").drop("hit").unionByName(marked.where("hit").drop("hit").join(ids, "doc_id", "left_anti"))
+    marked = docs.select(F.struct("*").alias("row"), "doc_id", hit(F.xxhash64(F.col("doc_id").cast("long"))).alias("hit"))
+    rest = marked.where("hit").join(ids, "doc_id", "left_anti")
+    return marked.where("not hit").select("row.*").union(rest.select("row.*"))
