@@ -50,19 +50,28 @@ def lines_of(raw: np.ndarray, starts: np.ndarray, shortest: int) -> tuple[np.nda
     return begin[on], end[on], row[on], number[on]
 
 
-def ids_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def ids_of(hashes: RollingHash, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """63-bit ids of lines, shifted left by one."""
-    h = mixed(RollingHash(raw).of(begin, end - begin) + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = mixed(hashes.of(begin, end - begin) + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (h & ~np.uint64(1)).view(np.int64)
 
 
+_KINDS = (mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(61)).astype(np.int64)
+#: Four counts of 16 bits in a word: what each byte adds, for the lower and the upper four kinds.
+_LANES = [np.where(_KINDS // 4 == half, np.uint64(1) << (16 * (_KINDS % 4)).astype(np.uint64), np.uint64(0)) for half in range(2)]
+
+
 def signatures(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Eight counts of byte kinds, each modulo 256, in one long."""
-    kind = (mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(61)).astype(np.uint8)[raw]
     out = np.zeros(len(begin), np.uint64)
-    for k in range(8):
-        c = np.append(np.uint32(0), np.cumsum(kind == k, dtype=np.uint32))
-        out |= ((c[end] - c[begin]) & np.uint32(255)).astype(np.uint64) << np.uint64(8 * k)
+    for half, lanes in enumerate(_LANES):
+        sums = np.append(np.uint64(0), np.cumsum(lanes[raw]))
+        counts = sums[end] - sums[begin]
+        for k in range(4):
+            out |= (counts >> np.uint64(16 * k) & np.uint64(255)) << np.uint64(8 * (4 * half + k))
+    for i in np.flatnonzero(end - begin >= 1 << 16).tolist():  # a count may not have fitted
+        many = np.bincount(_KINDS[raw[begin[i] : end[i]]], minlength=8)
+        out[i] = sum(int(c) % 256 << 8 * k for k, c in enumerate(many))
     return out.view(np.int64)
 
 
@@ -79,9 +88,9 @@ def segment(length: np.ndarray, i: int, most: int) -> tuple[np.ndarray, np.ndarr
     return i * base + np.maximum(0, i - first), base + (i >= first)
 
 
-def keys_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, most: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (id as it is) and probe keys (id + 1) of lines."""
-    hashes, n = RollingHash(raw), end - begin
+def keys_of(hashes: RollingHash, begin: np.ndarray, end: np.ndarray, ids: np.ndarray, most: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys (id as it is), which the line probes too, and the other probe keys (id + 1) of lines."""
+    n = end - begin
     keys, owners = [], []
 
     def put(at: np.ndarray, size: np.ndarray, length: np.ndarray, i: int, on: np.ndarray, side: int) -> None:
@@ -98,6 +107,8 @@ def keys_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray
             at, size = segment(length, i, most)
             low, high = max(-i, less - (most - i)), min(i, less + (most - i))
             for shift in range(low, high + 1):
+                if not less and not shift:
+                    continue  # the line's own index key
                 put(at + shift, size, length, i, (length >= shortest) & (at + shift >= 0) & (at + shift + size <= n), 1)
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
@@ -152,7 +163,7 @@ def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
                 raw, starts = packed(part.column("text"))
                 begin, end, row, number = lines_of(raw, starts, shortest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(number, pa.int64()), pa.array(ids_of(raw, begin, end)), pa.array(end - begin), pa.array(signatures(raw, begin, end))],
+                    [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(number, pa.int64()), pa.array(ids_of(RollingHash(raw), begin, end)), pa.array(end - begin), pa.array(signatures(raw, begin, end))],
                     names=["doc_id", "rid", "line", "id", "length", "signature"],
                 )
 
@@ -167,9 +178,10 @@ def candidates(docs: DataFrame, most: int, shortest: int) -> DataFrame:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
                 begin, end, _, _ = lines_of(raw, starts, shortest)
-                ids, first = np.unique(ids_of(raw, begin, end), return_index=True)
+                hashes = RollingHash(raw)
+                ids, first = np.unique(ids_of(hashes, begin, end), return_index=True)
                 if len(ids):
-                    key, owner = keys_of(raw, begin[first], end[first], ids, most, shortest)
+                    key, owner = keys_of(hashes, begin[first], end[first], ids, most, shortest)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], names=["key", "owner"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +194,14 @@ def candidates(docs: DataFrame, most: int, shortest: int) -> DataFrame:
         ids = owner & ~np.int64(1)
         many = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
         size = np.diff(np.append(begin, len(key)))
-        probes = np.add.reduceat(owner & 1, begin)
-        indexed = size - probes
-        paired = many & (probes > 0) & (indexed > 0)
-        short, long = paired & (probes * indexed <= LONG_RUN), paired & (probes * indexed > LONG_RUN)
-        s, p, q = begin[short], probes[short], indexed[short]
+        indexed = size - np.add.reduceat(owner & 1, begin)
+        paired = many & (indexed > 0)
+        short, long = paired & (size * indexed <= LONG_RUN), paired & (size * indexed > LONG_RUN)
+        s, p, q = begin[short], size[short], indexed[short]
         total = p * q
         run = np.repeat(np.arange(len(s)), total)
         k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
-        x, y = ids[s[run] + k // p[run]], ids[s[run] + q[run] + k % p[run]]
+        x, y = ids[s[run] + k // p[run]], ids[s[run] + k % p[run]]
         kept = x != y
         a, b = np.minimum(x, y)[kept], np.maximum(x, y)[kept]
         inside = np.repeat(long, size)
@@ -211,7 +222,7 @@ def texts_of(docs: DataFrame, ids: DataFrame, shortest: int) -> DataFrame:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
                 begin, end, _, _ = lines_of(raw, starts, shortest)
-                found, first = np.unique(ids_of(raw, begin, end), return_index=True)
+                found, first = np.unique(ids_of(RollingHash(raw), begin, end), return_index=True)
                 hit = picked.value.has(found)
                 data = raw.tobytes()
                 bodies = [data[x:y] for x, y in zip(begin[first[hit]].tolist(), end[first[hit]].tolist(), strict=True)]
@@ -256,24 +267,17 @@ def links(found: DataFrame, firsts: DataFrame, docs: DataFrame, most: int, short
         ids, block, sign = part["id"].to_numpy(), part["own"].to_numpy(), np.ascontiguousarray(part["signature"].to_numpy())
         raw, ((at, size),) = _laid(part["body"].to_list())
         left, right = np.flatnonzero(block == part["x"].iloc[0]), np.flatnonzero(block == part["y"].iloc[0])
-        root = np.arange(len(ids))
-        made: list[tuple[int, int]] = []
-
-        def head(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
+        label, made = np.arange(len(ids)), []
+        same = part["x"].iloc[0] == part["y"].iloc[0]
         for i in left.tolist():
-            heads = np.array([head(k) for k in right.tolist()]) if made else right
-            j = right[(right != i) & (heads != head(i)) & (np.abs(size[right] - size[i]) <= most)]
-            j = j[apart(np.broadcast_to(sign[i], j.shape).copy(), np.ascontiguousarray(sign[j])) <= 2 * most] if len(j) else j
+            other = right[right > i] if same else right
+            j = other[(label[other] != label[i]) & (np.abs(size[other] - size[i]) <= most)]
+            j = j[apart(np.full(len(j), sign[i]), sign[j]) <= 2 * most]
             if len(j):
                 for k in j[within(raw, np.full(len(j), at[i]), np.full(len(j), size[i]), at[j], size[j], most)].tolist():
-                    u, v = head(i), head(k)
+                    u, v = sorted((int(label[i]), int(label[k])))
                     if u != v:
-                        root[max(u, v)] = min(u, v)
+                        label[label == v] = u
                         made.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
         return pd.DataFrame(made, columns=["a", "b"])
 
@@ -301,10 +305,11 @@ def kept_lines(docs: DataFrame, most: int, shortest: int) -> tuple[DataFrame, Da
 
 
 def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) -> DataFrame:
-    """docs with what stays as text, and n_lines, n_removed, n_near (lines with near lines of another text)."""
-    names = docs.columns
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "text")
+    """docs with what stays as text, and (in place of columns of these names) n_lines, n_removed, n_near (lines with near lines of another text)."""
+    made = ("n_lines", "n_removed", "n_near")
+    names = [c for c in docs.columns if c not in made]
+    docs = docs.select(F.struct(*names).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    plain = docs.select("doc_id", "rid", "text")
     kept, counts = kept_lines(plain, most, shortest)
     marks = stored(counts.join(kept, "rid", "left").where("n_near is not null or coalesce(size(kept), 0) < n_part"), "line-marks")
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(marks.select(F.xxhash64("rid").alias("h"))))
@@ -331,5 +336,5 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) -> DataFr
     clean = marked.where("not hit").withColumn("n_removed", zero).withColumn("n_near", zero)
     rest = marked.where("hit").join(marks, "rid", "left").withColumn("cut", cut("text", F.col("n_part").cast("double"), "kept"))
     rest = rest.withColumn("text", F.col("cut.text")).withColumn("n_removed", F.col("cut.n_removed")).withColumn("n_near", F.coalesce("n_near", zero))
-    columns = [*names, "n_lines", "n_removed", "n_near"]
+    columns = [*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), *made]
     return clean.select(*columns).unionByName(rest.select(*columns))
