@@ -30,8 +30,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu toi te ton
 FOLDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _UNMASK = str.maketrans(FOLDS)
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])[\w@$!*]*[^\W\d_][0-9@$!*]+[^\W\d_][\w@$!*]*")
-_MARKS = re.compile(r"[!?.,;:*#$%&|@]")
+_INNER = re.compile(r"[0134578@$!*]+")
+_STRIPPED = "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~\\\u00ab\u00bb\u201c\u201d\u2019\u2026\u00a1\u00bf"
 STEM = 5
 NEAR = 8
 
@@ -39,7 +39,8 @@ FEATURES = 16
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words without marks at their ends."""
+    return [w.strip(_STRIPPED) for w in text.lower().split()]
 
 
 class Lexicon:
@@ -49,11 +50,12 @@ class Lexicon:
         self.words, self.stems = words, stems
 
     @classmethod
-    def learnt(cls, texts: list[str], toxic: np.ndarray, support: int = 5, least: float = 2.5) -> Lexicon:
+    def learnt(cls, texts: list[Reading], toxic: np.ndarray, support: int = 5, least: float = 2.5) -> Lexicon:
         """Keeps what is in at least `support` toxic texts with log odds of `least` or more."""
         toxic_words, clean_words, toxic_stems, clean_stems = Counter(), Counter(), Counter(), Counter()
         for text, bad in zip(texts, toxic, strict=True):
-            words = set(tokens(text))
+            words = set(text.words)
+            words.discard("")
             (toxic_words if bad else clean_words).update(words)
             (toxic_stems if bad else clean_stems).update({w[:STEM] for w in words if len(w) >= STEM})
         n, m = max(1, int(toxic.sum())), max(1, len(toxic) - int(toxic.sum()))
@@ -65,35 +67,58 @@ class Lexicon:
         return cls({w: 3.0 for w in INSULTS} | odds(toxic_words, clean_words), odds(toxic_stems, clean_stems))
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    if not text:
-        return [0.0] * FEATURES
-    words = tokens(text)
-    n, size = max(1, len(words)), len(text)
-    known, stems = lexicon.words, lexicon.stems
-    hits = [i for i, w in enumerate(words) if w in known]
-    begun = [i for i, w in enumerate(words) if w[:STEM] in stems]
-    weight = sum(known[words[i]] for i in hits)
-    stem_weight = sum(stems[words[i][:STEM]] for i in begun)
-    either = sorted({*hits, *begun})
-    near = 0
-    if either:
-        second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        if second:
-            at, who = np.array(either), np.array(second)
+class Reading:
+    """What of a text doesn't depend on a lexicon."""
+
+    __slots__ = ("fixed", "mixed", "raw_words", "size", "words")
+
+    def __init__(self, text: str | None, pool: dict[str, str] | None = None):
+        """pool: one copy of each word for many readings that are kept together."""
+        text = text or ""
+        self.words, self.size = tokens(text), max(1, len(text))
+        if pool is not None:
+            self.words = [pool.setdefault(w, w) for w in self.words]
+        raw = text.split()
+        self.raw_words = max(1, len(raw))
+        self.mixed = _mixed(text)
+        shouted = sum(map(str.isupper, raw))
+        marks = sum(map(text.count, "!?.,;:*#$%&|@"))
+        self.fixed = [_upper(text) / self.size, shouted / self.raw_words, marks / self.size, (text.count("!") + text.count("?")) / self.size, len(self.mixed) / self.raw_words]
+
+    def features(self, lexicon: Lexicon) -> list[float]:
+        words, n = self.words, max(1, len(self.words))
+        unique = set(words)
+        known, stems = unique & lexicon.words.keys(), {w for w in unique if w[:STEM] in lexicon.stems}
+        hits = [w for w in words if w in known] if known else []
+        begun = [w for w in words if w in stems] if stems else []
+        either = [i for i, w in enumerate(words) if w in known or w in stems] if known or stems else []
+        near = 0
+        if either and not SECOND_PERSON.isdisjoint(unique):
+            who, at = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON]), np.array(either)
             k = np.searchsorted(who, at)
             gap = np.minimum(np.abs(who[np.minimum(k, len(who) - 1)] - at), np.abs(who[np.maximum(k - 1, 0)] - at))
             near = int((gap <= NEAR).sum())
-    raw = text.split()
-    mixed = _MIXED.findall(text) if any(c in text for c in "0134578@$!*") else []
-    unmasked = sum(1 for x in mixed if (w := "".join(_WORD.findall(x.lower().translate(_UNMASK)))) in known or w[:STEM] in stems)
-    marks = len(_MARKS.findall(text))
-    capitals = sum(map(str.isupper, text)) if size < 2000 else int(_upper(text))
-    shouted = sum(1 for x in raw if len(x) > 2 and x.isupper())
-    return [
-        weight / n, len(hits) / n, float(len(hits)), stem_weight / n, len(begun) / n, float(len(begun)), len(either) / n, float(len({words[i] for i in hits})),
-        near / n, capitals / size, shouted / max(1, len(raw)), marks / size, (text.count("!") + text.count("?")) / size, len(mixed) / max(1, len(raw)), unmasked / max(1, len(raw)), math.log1p(len(words)),
-    ]
+        unmasked = sum(1 for x in self.mixed if (w := "".join(_WORD.findall(x.lower().translate(_UNMASK)))) in lexicon.words or w[:STEM] in lexicon.stems)
+        return [
+            sum(lexicon.words[w] for w in hits) / n, len(hits) / n, float(len(hits)), sum(lexicon.stems[w[:STEM]] for w in begun) / n, len(begun) / n,
+            float(len(begun)), len(either) / n, float(len(known)), near / n, *self.fixed, unmasked / self.raw_words, math.log1p(len(words)),
+        ]
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    return Reading(text).features(lexicon)
+
+
+def _mixed(text: str) -> list[str]:
+    """Words with marks or digits between letters."""
+    out = []
+    for m in _INNER.finditer(text):
+        a, b = m.span()
+        if a and b < len(text) and text[a - 1].isalpha() and text[b].isalpha():
+            start = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a)) + 1
+            end = min((k for k in (text.find(" ", b), text.find("\n", b)) if k >= 0), default=len(text))
+            out.append(text[start:end])
+    return out
 
 
 def _upper(text: str) -> int:
@@ -179,24 +204,19 @@ class Model:
         if not 0 < self.share < 1:
             self.lexicon = Lexicon({w: 3.0 for w in INSULTS}, {})
             return
-        # three folds: lexicon and trees from two, raw scores of the third for the calibration
-        fold, raw = np.arange(len(texts)) % 3, np.zeros(len(texts))
+        # what a text taught isn't seen as known in that text: its features use the lexicon of the other folds, and the
+        # calibration uses trees of the other folds
+        pool: dict[str, str] = {}
+        read = [Reading(t, pool) for t in texts]
+        y, fold = toxic.astype(float), np.arange(len(texts)) % 3
+        x, raw = np.zeros((len(texts), FEATURES)), np.zeros(len(texts))
+        for k in range(3):
+            lexicon = Lexicon.learnt([t for t, f in zip(read, fold, strict=True) if f != k], toxic[fold != k])
+            x[fold == k] = np.array([t.features(lexicon) for t, f in zip(read, fold, strict=True) if f == k]).reshape(-1, FEATURES)
         for k in range(3):
-            if 0 < toxic[fold != k].mean() < 1:
-                lexicon, trees = self._fit([t for t, f in zip(texts, fold, strict=True) if f != k], toxic[fold != k])
-                raw[fold == k] = trees.raw(np.array([features(t, lexicon) for t, f in zip(texts, fold, strict=True) if f == k]).reshape(-1, FEATURES))
-        self.knots = isotonic(raw, toxic.astype(float))
-        self.lexicon, self.trees = self._fit(texts, toxic)
-
-    @staticmethod
-    def _fit(texts: list[str], toxic: np.ndarray) -> tuple[Lexicon, Trees]:
-        # what a text taught isn't seen as known in that text: each half's features use the other half's lexicon
-        half = np.arange(len(texts)) // 3 % 2
-        x = np.zeros((len(texts), FEATURES))
-        for k in range(2):
-            other = Lexicon.learnt([t for t, f in zip(texts, half, strict=True) if f != k], toxic[half != k])
-            x[half == k] = np.array([features(t, other) for t, f in zip(texts, half, strict=True) if f == k]).reshape(-1, FEATURES)
-        return Lexicon.learnt(texts, toxic), Trees().fit(x, toxic.astype(float))
+            raw[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k]) if (fold != k).any() else 0.0
+        self.knots = isotonic(raw, y)
+        self.lexicon, self.trees = Lexicon.learnt(read, toxic), Trees().fit(x, y)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
@@ -209,13 +229,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
     """A model from at most `sample` labelled rows that are not held out; the rows with the smallest hashes."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    return Model([t or "" for t in rows["text"]], rows["toxic"].to_numpy().astype(int) > 0)
+    texts, toxic = [t or "" for t in rows["text"]], rows["toxic"].to_numpy().astype(int) > 0
+    del rows
+    return Model(texts, toxic)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
