@@ -2,10 +2,11 @@
 
 1. Each window of `size` bytes belongs to an anchor, the leftmost of its 32-byte grams with the smallest hash. Equal
    windows have equal anchors, so only windows of anchors that occur twice can repeat; the rest of the text is left out.
-2. Documents are dealt to shards by an anchor that they share, so that copies meet; shards are of bounded size, and
-   texts too large for one are dealt to several. Each shard's suffix array is refined by doubling (Larsson-Sadakane),
+2. Copies are dealt to shards as whole documents and passages of other documents one by one, by an anchor that they
+   share, so that equals meet; shards are of bounded size, and what is too large for one is dealt to several. Each shard's suffix array is refined by doubling (Larsson-Sadakane),
    Kasai's common prefixes give the windows that repeat in the shard.
-3. Windows of anchors that lie in several shards are merged across shards: sorted runs, joined by binary search.
+3. Of anchors that other shards have too, windows that don't repeat in the shard, and one of each class of those that
+   do, are merged across shards: sorted runs, joined by binary search.
 4. Repeating windows are united to spans, and removed from the whole texts.
 
 Texts are UTF-8 bytes, null is empty; matches don't cross documents. Rows are judged one by one: repeated rows are
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, packed, slices, stored, whole
+from twinscope.llm.common import Bloom, RollingHash, packed, slices, stored
 
 GRAM = 32
-CHUNK = 1 << 22
-SHARD = 1_000_000
-PIECE = 400_000
+CHUNK = 1 << 20
+SHARD = 700_000
+PIECE = 300_000
 #: A document is dealt by an anchor of so few occurrences, if it has one: passages of many documents come after copies.
 RARE = 50
 
@@ -154,15 +155,17 @@ def common_prefixes(order: np.ndarray, new: np.ndarray, words: np.ndarray, most:
 _EDGES = np.array([1 << (8 * k) for k in range(1, 8)], np.uint64)
 
 
-def repeating(text: np.ndarray, valid: np.ndarray, size: int) -> np.ndarray:
-    """Marks of the valid places whose first `size` bytes start at another valid place too."""
+def repeating(text: np.ndarray, valid: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the valid places whose first `size` bytes start at another valid place too, and the class of each place."""
     order, new, words = suffix_array(text, size)
     group = np.cumsum(common_prefixes(order, new, words, size) < size)
     fine = valid[order]
     many = np.bincount(group[fine], minlength=int(group[-1]) + 1 if len(group) else 0) > 1
     out = np.zeros(len(text), bool)
     out[order[fine & many[group]]] = True
-    return out
+    of = np.zeros(len(text), np.int64)
+    of[order] = group
+    return out, of
 
 
 def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +173,13 @@ def _runs(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _covered(lo: np.ndarray, hi: np.ndarray, size: int) -> int:
+    """Bytes that windows from lo to hi cover; lo ascends."""
+    end = hi + size
+    before = np.append(0, np.maximum.accumulate(end)[:-1])
+    return int(np.maximum(0, end - np.maximum(lo, before)).sum())
+
+
 def segments(docs: DataFrame, twice: DataFrame, size: int) -> DataFrame:
     """The parts of texts that windows of repeated anchors cover: route, rid, start, body, and the anchors' h, lo, hi."""
     of_rows = twice.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "h", "c")).alias("a"))
@@ -189,20 +199,22 @@ def segments(docs: DataFrame, twice: DataFrame, size: int) -> DataFrame:
                 by = np.argsort(lo, kind="stable")
                 lo, hi, h, c = lo[by], hi[by], h[by], c[by]
                 rare = c <= RARE
-                route = int(h[rare].min() if rare.any() else h.min())
+                covered = _covered(lo, hi, size)
+                whole_ = int(h[rare].min()) if rare.any() and 2 * covered >= len(body) else None
                 begin = np.append(True, (lo[1:] > np.maximum.accumulate(hi)[:-1] + size) | (lo[1:] // PIECE != lo[:-1] // PIECE))
                 at = np.append(np.flatnonzero(begin), len(lo))
                 for x, y in zip(at, at[1:], strict=False):
                     start, end = int(lo[x]), int(hi[x:y].max()) + size
-                    out.append((route, rid, start, bytes(body[start:end]), h[x:y].tolist(), (lo[x:y] - start).tolist(), (hi[x:y] - start).tolist()))
+                    route = int(h[x:y].min()) if whole_ is None else whole_
+                    out.append((route, rid, start, bytes(body[start:end]), h[x:y].tolist(), c[x:y].tolist(), (lo[x:y] - start).tolist(), (hi[x:y] - start).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, x, strict=True)) for x in out], schema=_SEGMENT)
 
     texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(pick, "rid long, text string")
-    return texts.join(of_rows, "rid").mapInArrow(cut, "route long, rid long, start long, body binary, h array<long>, lo array<long>, hi array<long>")
+    return texts.join(of_rows, "rid").mapInArrow(cut, "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>")
 
 
 _LONGS = pa.list_(pa.int64())
-_SEGMENT = pa.schema([("route", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("h", _LONGS), ("lo", _LONGS), ("hi", _LONGS)])
+_SEGMENT = pa.schema([("route", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("h", _LONGS), ("c", _LONGS), ("lo", _LONGS), ("hi", _LONGS)])
 
 
 def dealt(parts: DataFrame) -> DataFrame:
@@ -217,29 +229,32 @@ def dealt(parts: DataFrame) -> DataFrame:
 
 
 def in_shards(parts: DataFrame, size: int) -> DataFrame:
-    """kind 0: rid and a span of repeating windows; kind 1: an anchor of the shard, and whether a window of it is still open."""
+    """kind 0: rid and a span of repeating windows. kind 1: rid and place of a window that another shard may have, and two
+    keys of it, 96 bits; no window is given twice by a shard."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         text, base, valid = _laid(part)
-        marks = repeating(text, valid, size)
-        rows = []
-        owner, at = np.repeat(np.arange(len(part)), np.diff(base)), base
-        x, y = _runs(marks)
-        # a run stops where its part stops, as the last window of a part ends inside of it
+        marks, group = repeating(text, valid, size)
         rid, start = part["rid"].to_numpy(), part["start"].to_numpy()
-        if len(x):
-            rows.append(pd.DataFrame({"kind": 0, "a": rid[owner[x]], "b": start[owner[x]] + x - at[owner[x]], "c": start[owner[x]] + y - at[owner[x]] - 1 + size}))
-        closed = np.append(0, np.cumsum(valid & ~marks))
-        h = np.concatenate(part["h"].to_list())
+        owner = np.repeat(np.arange(len(part)), np.diff(base))
+        place = np.arange(len(text)) - base[owner] + start[owner]
+        x, y = _runs(marks)  # a run ends in its part, as the last window of a part ends inside of it
+        spans = pd.DataFrame({"kind": 0, "a": rid[owner[x]], "b": place[x], "c": place[y - 1] + size, "d": 0})
+        h, c = (np.concatenate(part[k].to_list()) for k in ("h", "c"))
         lo = np.concatenate([np.asarray(v) + b for v, b in zip(part["lo"], base, strict=False)])
         hi = np.concatenate([np.asarray(v) + b for v, b in zip(part["hi"], base, strict=False)])
-        opened = closed[hi + 1] - closed[lo] > 0
-        by = np.lexsort((~opened, h))
-        first = np.append(True, h[by][1:] != h[by][:-1])
-        rows.append(pd.DataFrame({"kind": 1, "a": h[by][first], "b": int(part["shard"].iloc[0]), "c": opened[by][first].astype(np.int64)}))
-        return pd.concat(rows)[["kind", "a", "b", "c"]]
+        _, back, here = np.unique(h, return_inverse=True, return_counts=True)
+        shared = here[back] < c
+        lo, count = lo[shared], hi[shared] - lo[shared] + 1
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        again = at[marks[at]]
+        _, one = np.unique(group[again], return_index=True)
+        at = np.append(at[~marks[at]], again[one])
+        keys = [RollingHash(text, k).of(at, size).view(np.int64) for k in range(2)]
+        far = pd.DataFrame({"kind": 1, "a": rid[owner[at]], "b": place[at], "c": keys[0], "d": (keys[1] >> 32).astype(np.int32)})
+        return pd.concat([spans, far])
 
-    return parts.groupBy("shard").applyInPandas(run, "kind int, a long, b long, c long")
+    return parts.groupBy("shard").applyInPandas(run, "kind int, a long, b long, c long, d int")
 
 
 def _laid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,37 +269,23 @@ def _laid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, base, np.cumsum(step[:-1]) > 0
 
 
-def across_shards(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
+def across_shards(found: DataFrame) -> DataFrame:
     """rid and place of windows that repeat in another shard than their own."""
-    shared = found.where("kind = 1").groupBy("a").agg(F.max("c").alias("open"), F.min("b").alias("x"), F.max("b").alias("y")).where("open = 1 and x <> y")
-    bloom = parts.sparkSession.sparkContext.broadcast(Bloom.of(shared.select(F.xxhash64("a").alias("h"))))
-    bits = parts.withColumn("bits", F.transform("h", lambda x: F.xxhash64(x)))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = {k: batch.column(k)[row] for k in ("rid", "start", "shard")}
-                hit = np.flatnonzero(bloom.value.has(batch.column("bits")[row].values.to_numpy()))
-                if not len(hit):
-                    continue
-                text = np.frombuffer(batch.column("body")[row].as_buffer(), np.uint8)
-                lo, hi = (batch.column(k)[row].values.to_numpy()[hit] for k in ("lo", "hi"))
-                count = hi - lo + 1
-                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                k1, k2 = RollingHash(text).of(at, size).view(np.int64), RollingHash(text, 1).of(at, size).view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(np.full(n, one["shard"].as_py())), pa.array(np.full(n, one["rid"].as_py())), pa.array(at + one["start"].as_py())], names=["k1", "k2", "shard", "rid", "at"])
-
-    windows = bits.select("rid", "start", "shard", "body", "lo", "hi", "bits").mapInArrow(keys, "k1 long, k2 long, shard long, rid long, at long")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k1, k2, shard, rid, at = whole(batches, "k1", "k2", "shard", "rid", "at")
-        if not len(k1):
+        runs, rows = [], []
+        for batch in batches:  # each is sorted on its own
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            order = np.lexsort((k2, k1))
+            rows.append([batch.column(c).to_numpy()[order] for c in ("k1", "k2", "rid", "at")])
+            runs.append(np.arange(len(k1)) + sum(len(r) for r in runs))
+        if not runs:
             return
-        order = np.lexsort((k2, k1, shard))
-        cuts = np.append(np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])), len(order))
+        k1, k2, rid, at = (np.concatenate(c) for c in zip(*rows, strict=True))
         hit = np.zeros(len(k1), bool)
-        runs = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for r in runs:
+            same = (k1[r][1:] == k1[r][:-1]) & (k2[r][1:] == k2[r][:-1])
+            hit[r[1:][same]] = True
         while len(runs) > 1:
             runs = [_merged(k1, k2, *runs[i : i + 2], hit) for i in range(0, len(runs), 2)]
         # a window that was found equal stands for all of its equals
@@ -297,6 +298,7 @@ def across_shards(parts: DataFrame, found: DataFrame, size: int) -> DataFrame:
         for k in range(0, len(out), 1 << 17):
             yield pa.RecordBatch.from_arrays([pa.array(rid[out[k : k + (1 << 17)]]), pa.array(at[out[k : k + (1 << 17)]])], names=["rid", "at"])
 
+    windows = found.where("kind = 1").select(F.col("c").alias("k1"), F.col("d").alias("k2"), F.col("a").alias("rid"), F.col("b").alias("at"))
     return windows.repartition("k1").mapInArrow(merge, "rid long, at long")
 
 
@@ -322,10 +324,10 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     found = stored(anchors(docs, size), "anchors")
     counts = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     twice = stored(found.join(counts, "h"), "twice")
-    parts = stored(dealt(stored(segments(docs, twice, size), "segments")), "parts")
+    parts = dealt(stored(segments(docs, twice, size), "segments"))
     in_shard = stored(in_shards(parts, size), "shards")
     near = in_shard.where("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("s"), F.col("c").alias("e"))
-    far = across_shards(parts, in_shard, size).select("rid", F.col("at").alias("s"), (F.col("at") + size).alias("e"))
+    far = across_shards(in_shard).select("rid", F.col("at").alias("s"), (F.col("at") + size).alias("e"))
     return near.union(far).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
@@ -342,8 +344,9 @@ def united(spans) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
-    """All columns of docs, and spans (array of s, e) and kept (the bytes that remain)."""
-    docs = docs.withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    """All columns of docs, and (in place of columns of these names) spans (array of s, e) and kept (the bytes that remain)."""
+    names = [c for c in docs.columns if c not in ("spans", "kept")]
+    docs = docs.select(F.struct(*names).alias("row"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("rid"))
     spans = stored(repeated_spans(docs.select("rid", "text"), size), "spans")
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("rid").alias("h"))))
 
@@ -364,8 +367,8 @@ def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     clean = marked.where("not hit").withColumn("spans", F.array().cast("array<struct<s: long, e: long>>")).withColumn("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rest = marked.where("hit").join(spans.withColumnRenamed("spans", "found"), "rid", "left")
     rest = rest.withColumn("cut", cut("text", "found")).withColumn("spans", F.col("cut.spans")).withColumn("kept", F.col("cut.kept"))
-    names = [c for c in docs.columns if c != "rid"] + ["spans", "kept"]
-    return clean.select(*names).unionByName(rest.select(*names))
+    columns = [*(F.col(f"row.`{c}`").alias(c) for c in names), "spans", "kept"]
+    return clean.select(*columns).unionByName(rest.select(*columns))
 
 
 def rewritten(deduped: DataFrame) -> DataFrame:
