@@ -29,12 +29,15 @@ from twinscope.llm.common import Bloom, RollingHash, list_array, mixed, packed,
 from twinscope.llm.components import components
 
 GROUPS = 128
+#: Groups of the finer counts that sets above FINE_FROM have too; their points crowd together in few groups.
+FINE = 2048
+FINE_FROM = 800
 SIZE = 5
 LOW = np.uint64((1 << 53) - 1)
 SHORT = 48
 BLOCK = 4096
 FANOUT = 16
-PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, counts binary"
+PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, counts binary, fine binary"
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +91,17 @@ def profile(docs: DataFrame, percent: int) -> DataFrame:
                 counts = np.bincount(row * GROUPS + (mixed(h) >> np.uint64(57)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
                 wide = (counts > 254).any(1)
                 counts[wide] = 255  # too large for a byte: no bound
+                fine: list[bytes | None] = [None] * len(n)
+                for i in np.flatnonzero(n >= FINE_FROM).tolist():
+                    many = np.bincount((mixed(h[bounds[i] : bounds[i + 1]]) >> np.uint64(53)).astype(np.int64), minlength=FINE)
+                    fine[i] = many.astype(np.uint8).tobytes() if many.max() < 256 else None
                 p = np.where(n > 0, n - needed(n, percent) + 1, 0)
                 ends = np.cumsum(p)
                 at = np.repeat(bounds[:-1] - (ends - p), p) + np.arange(int(p.sum()))
                 data = counts.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, ends), pa.int64()), pa.array([x.tobytes() for x in data], pa.binary())],
-                    names=["doc_id", "n", "one", "two", "prefix", "counts"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, ends), pa.int64()), pa.array([x.tobytes() for x in data], pa.binary()), pa.array(fine, pa.binary())],
+                    names=["doc_id", "n", "one", "two", "prefix", "counts", "fine"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
@@ -107,6 +114,14 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def finer(most: np.ndarray, a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
+    """The bounds, lowered by the finer counts where both sets have these."""
+    for i, (u, w) in enumerate(zip(a, b, strict=True)):
+        if u is not None and w is not None:
+            most[i] = min(most[i], np.minimum(np.frombuffer(u, np.uint8), np.frombuffer(w, np.uint8)).sum(dtype=np.int64))
+    return most
+
+
 def may_link(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """100 overlap >= percent (n + m - overlap), with overlap at most the smaller size."""
     overlap = np.minimum(overlap, np.minimum(n, m))
@@ -188,7 +203,7 @@ def first_round(keys: DataFrame) -> DataFrame:
 
 
 def second_round(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of runs with several components. kind 0: pairs of short runs; kind 1: key and node of long runs."""
+    """Of runs with several components. kind 0: pairs of short runs; kind 1: key, node and component of long runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, label = whole(batches, "key", "node", "label")
@@ -209,12 +224,12 @@ def second_round(runs: DataFrame, labels: DataFrame) -> DataFrame:
         a, b = _distinct_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (np.zeros(0, np.int64),) * 2
         at = np.concatenate([np.arange(s, e) for s, e in long]) if long else np.zeros(0, np.int64)
         kind = np.append(np.zeros(len(a), np.int32), np.ones(len(at), np.int32))
-        out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(a, key[at])), pa.array(np.append(b, node[at]))], names=["kind", "a", "b"])
+        out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(a, key[at])), pa.array(np.append(b, node[at])), pa.array(np.append(0 * a, label[at]))], names=["kind", "a", "b", "label"])
         for k in range(0, out.num_rows, 1 << 17):
             yield out.slice(k, 1 << 17)
 
     rows = runs.select(F.col("a").alias("key"), F.col("b").alias("node")).join(labels, "node", "left")
-    return rows.select("key", "node", F.coalesce("component", "node").alias("label")).repartition("key").mapInArrow(run, "kind int, a long, b long")
+    return rows.select("key", "node", F.coalesce("component", "node").alias("label")).repartition("key").mapInArrow(run, "kind int, a long, b long, label long")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -224,17 +239,23 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("ca", "cb"))
             n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            keep = may_link(bound(x, y), n, m, percent)
+            most = finer(bound(x, y), batch.column("fa").to_pylist(), batch.column("fb").to_pylist())
+            keep = may_link(most, n, m, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long")
+    of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"), F.col("fine").alias(f"f{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ca", "cb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
 def tree_pairs(long: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs in long runs that the R-tree leaves. A run is cut by set size, then into blocks that meet in pairs."""
+    """Pairs of different components in long runs that the R-tree leaves. A run is cut by set size, then into blocks that
+    meet in pairs. A pair is given in the first of the long runs that hold both."""
     ratio = float(np.log(100 / percent))
-    rows = long.select(F.col("a").alias("key"), F.col("b").alias("node")).join(points, "node").withColumn("band", F.floor(F.log("n") / F.lit(ratio)).cast("int"))
+    rows = long.select(F.col("a").alias("key"), F.col("b").alias("node"), "label")
+    of_node = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a prefix has, at most
+    earlier = F.filter("keys", lambda k: k < F.col("key"))
+    rows = rows.join(of_node, "node").withColumn("earlier", earlier).drop("keys")
+    rows = rows.join(points, "node").withColumn("band", F.floor(F.log("n") / F.lit(ratio)).cast("int"))
     sizes = rows.groupBy("key", "band").agg(F.count("*").alias("c"))
     wide = sizes.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).groupBy("key", "band").agg(F.sum("c").alias("c"))
     # a row meets its own band as "own" and the next band as "lower"
@@ -246,15 +267,23 @@ def tree_pairs(long: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, GROUPS)
-        node, n, side, block = (part[c].to_numpy() for c in ("node", "n", "side", "own"))
+        node, n, side, block, label = (part[c].to_numpy() for c in ("node", "n", "side", "own", "label"))
+        earlier, fine = [frozenset(k.tolist()) for k in part["earlier"]], part["fine"].to_list()
         x, y = part["x"].iloc[0], part["y"].iloc[0]
         found = []
 
         def meet(i: np.ndarray, j: np.ndarray) -> None:
             if len(i) and len(j):
                 for a, b in CountTree(counts[i], n[i]).pairs(CountTree(counts[j], n[j]), percent):
-                    u, v = node[i[a]], node[j[b]]
-                    found.append((np.minimum(u, v)[u != v], np.maximum(u, v)[u != v]))
+                    p, q = i[a], j[b]
+                    other = label[p] != label[q]
+                    p, q = p[other], q[other]
+                    first = [earlier[u].isdisjoint(earlier[v]) for u, v in zip(p.tolist(), q.tolist(), strict=True)]
+                    p, q = p[first], q[first]
+                    if len(p):
+                        keep = may_link(finer(bound(counts[p], counts[q]), [fine[u] for u in p.tolist()], [fine[v] for v in q.tolist()]), n[p], n[q], percent)
+                        u, v = node[p[keep]], node[q[keep]]
+                        found.append((np.minimum(u, v), np.maximum(u, v)))
 
         upper, lower = np.flatnonzero((side == 0) & (block == x)), np.flatnonzero((side == 1) & (block == x))
         upper2, lower2 = np.flatnonzero((side == 0) & (block == y)), np.flatnonzero((side == 1) & (block == y))
@@ -307,17 +336,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     keys = points.select("node", F.explode("prefix").alias("key"))
     runs = stored(first_round(keys), "runs")
     pairs = stored(runs.where("kind = 0").select("a", "b").distinct(), "pairs")
-    vectors = full.select(F.col("doc_id").alias("node"), "n", "counts")
+    vectors = full.select(F.col("doc_id").alias("node"), "n", "counts", "fine").join(nodes, "node", "left_semi")
     # rows that share a doc_id are linked by it
     links = stored(verified(stored(bounded(pairs, vectors, percent).distinct(), "bounded"), docs, percent), "links")
     labels = components(links, "a", "b")
     rest = stored(second_round(runs.where("kind = 1"), labels), "rest")
     long = rest.where("kind = 1")
     more = rest.where("kind = 0").select("a", "b").distinct()
-    more = bounded(more, vectors, percent).union(tree_pairs(long, vectors, percent)).distinct()
+    more = more.union(tree_pairs(long, vectors, percent)).distinct()
     labelled = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
     more = more.join(labelled("a"), "a", "left").join(labelled("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    more = stored(more, "more")
+    more = stored(bounded(more, vectors, percent), "more")
     if not more.isEmpty():
         links = stored(links.union(verified(more, docs, percent)), "links")
         labels = components(links, "a", "b")
