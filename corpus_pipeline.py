@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope.llm import jaccard, lines, packing, suffixes, toxicity
-from twinscope.llm.common import stored, table, without
+from twinscope.llm.common import small_batches, stored, table, without
 from twinscope.llm.registry import tokenizer_path
 
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -20,7 +20,8 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 def _slim(docs: DataFrame) -> DataFrame:
     """doc_id and text, and all columns in one, so that no name clashes with what an operator adds."""
-    return docs.select("doc_id", "text", F.struct("*").alias("row"))
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
 
 
 def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,6 +43,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = stored(jaccard.near_duplicates(docs), "near-duplicates")
     return without(docs, found.where("component_id <> doc_id")).select(*docs.columns)
 
@@ -52,6 +54,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 WHITE = "\\x20\\x09-\\x0D"
 
 
+#: Rows of an Arrow batch: whole texts cross to Python in batches of some megabytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -308,7 +308,7 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) -> DataFr
     """docs with what stays as text, and (in place of columns of these names) n_lines, n_removed, n_near (lines with near lines of another text)."""
     made = ("n_lines", "n_removed", "n_near")
     names = [c for c in docs.columns if c not in made]
-    docs = docs.select(F.struct(*names).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    docs = docs.select(F.struct(*(c for c in names if c != "text")).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     plain = docs.select("doc_id", "rid", "text")
     kept, counts = kept_lines(plain, most, shortest)
     marks = stored(counts.join(kept, "rid", "left").where("n_near is not null or coalesce(size(kept), 0) < n_part"), "line-marks")

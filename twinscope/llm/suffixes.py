@@ -346,7 +346,7 @@ def united(spans) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     """All columns of docs, and (in place of columns of these names) spans (array of s, e) and kept (the bytes that remain)."""
     names = [c for c in docs.columns if c not in ("spans", "kept")]
-    docs = docs.select(F.struct(*names).alias("row"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("rid"))
+    docs = docs.select(F.struct(*(c for c in names if c != "text")).alias("row"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("rid"))
     spans = stored(repeated_spans(docs.select("rid", "text"), size), "spans")
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("rid").alias("h"))))
 
@@ -367,7 +367,7 @@ def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     clean = marked.where("not hit").withColumn("spans", F.array().cast("array<struct<s: long, e: long>>")).withColumn("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rest = marked.where("hit").join(spans.withColumnRenamed("spans", "found"), "rid", "left")
     rest = rest.withColumn("cut", cut("text", "found")).withColumn("spans", F.col("cut.spans")).withColumn("kept", F.col("cut.kept"))
-    columns = [*(F.col(f"row.`{c}`").alias(c) for c in names), "spans", "kept"]
+    columns = [*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), "spans", "kept"]
     return clean.select(*columns).unionByName(rest.select(*columns))
 
 
