@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from twinscope.llm.common import RollingHash, packed
 
-SLOTS = 1 << 21
-ARENA = 12_000_000
+SLOTS = 1 << 20
+ARENA = 6_000_000
 
 
 class PieceTable:
