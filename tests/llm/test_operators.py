@@ -390,6 +390,20 @@ def test_suffix_shards_meet(spark, monkeypatch):
     assert got == {k: int(m.sum()) for (k, _), m in zip(rows, want, strict=True)}
 
 
+def test_suffix_repeated_rows_and_a_third(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARD", 4000)
+    monkeypatch.setattr(suffixes, "PIECE", 1500)
+    rows = []
+    for k in range(12):
+        passage = prose(700 + k, 50)
+        copied = (None if k == 0 else k, prose(720 + k, 150) + passage + prose(740 + k, 150))
+        rows += [copied] * (2 + k % 3) + [(100 + k, prose(760 + k, 200) + passage + prose(780 + k, 200))]
+    got = suffixes.digest(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    want = removed([t.encode() for _, t in rows])
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in got), key=key) == sorted(((i, int(m.sum())) for (i, _), m in zip(rows, want, strict=True)), key=key)
+
+
 def test_rewritten_text_is_whole(docs):
     for r in suffixes.rewritten(suffixes.dedup(docs)).collect():
         assert (r["text"] is None) == (texts()[r["doc_id"]] is None)

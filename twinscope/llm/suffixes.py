@@ -10,7 +10,7 @@
 4. Repeating windows are united to spans, and removed from the whole texts.
 
 Texts are UTF-8 bytes, null is empty; matches don't cross documents. Rows are judged one by one: repeated rows are
-copies of each other. An empty table gives no rows; other columns are ignored.
+copies of each other and go whole, from `size` bytes on; against others one of them stands for all. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,8 +180,21 @@ def _covered(lo: np.ndarray, hi: np.ndarray, size: int) -> int:
     return int(np.maximum(0, end - np.maximum(lo, before)).sum())
 
 
-def segments(docs: DataFrame, twice: DataFrame, size: int) -> DataFrame:
-    """The parts of texts that windows of repeated anchors cover: route, rid, start, body, and the anchors' h, lo, hi."""
+def apart(rows: DataFrame, repeats: Bloom) -> tuple[DataFrame, DataFrame]:
+    """rows whose rid is not among the repeats, and the others with a few more."""
+    shared = rows.sparkSession.sparkContext.broadcast(repeats)
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(h.to_numpy()))
+
+    marked = rows.withColumn("again", hit(F.xxhash64("rid")))
+    return marked.where("not again").drop("again"), marked.where("again").drop("again")
+
+
+def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None = None) -> DataFrame:
+    """The parts of texts that windows of repeated anchors cover: route, rid, start, body, and the anchors' h, lo, hi.
+    Of rows with one rid, which are among the repeats, one is read."""
     of_rows = twice.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "h", "c")).alias("a"))
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(twice.select("rid").distinct().select(F.xxhash64("rid").alias("h"))))
 
@@ -210,6 +223,9 @@ def segments(docs: DataFrame, twice: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, x, strict=True)) for x in out], schema=_SEGMENT)
 
     texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(pick, "rid long, text string")
+    if repeats is not None:
+        once, again = apart(texts, repeats)
+        texts = once.union(again.groupBy("rid").agg(F.first("text").alias("text")))
     return texts.join(of_rows, "rid").mapInArrow(cut, "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>")
 
 
@@ -322,13 +338,22 @@ def _merged(k1: np.ndarray, k2: np.ndarray, x: np.ndarray, y: np.ndarray | None
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
     """rid and its spans (sorted starts and ends, in bytes) to remove. docs: rid, text."""
     found = stored(anchors(docs, size), "anchors")
+    # each row of size bytes or more has one anchor at 0
+    many = stored(found.where("lo = 0").groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid"), "repeated")
+    repeats = None if many.isEmpty() else Bloom.of(many.select(F.xxhash64("rid").alias("h")))
+    if repeats is not None:
+        once, again = apart(found, repeats)
+        again = stored(again.distinct(), "repeated-anchors")
+        whole = again.join(many, "rid").groupBy("rid").agg(F.lit(0).cast("long").alias("s"), (F.max("hi") + size).alias("e"))
+        found = once.union(again)
     counts = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     twice = stored(found.join(counts, "h"), "twice")
-    parts = dealt(stored(segments(docs, twice, size), "segments"))
+    parts = dealt(stored(segments(docs, twice, size, repeats), "segments"))
     in_shard = stored(in_shards(parts, size), "shards")
     near = in_shard.where("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("s"), F.col("c").alias("e"))
     far = across_shards(in_shard).select("rid", F.col("at").alias("s"), (F.col("at") + size).alias("e"))
-    return near.union(far).groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    spans = near.union(far) if repeats is None else near.union(far).union(whole)
+    return spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def united(spans) -> list[tuple[int, int]]:
