@@ -78,6 +78,16 @@ def test_licence_cosine(spark):
     assert got[0] == pytest.approx(dot, abs=1e-5) and got[1] is None and df["the"]
 
 
+def test_licence_weights_of_common_words(spark):
+    line = "Licensed under the Apache License, Version 2.0. nich und der ist das."
+    found = []
+    for n in (100, 3000):
+        files = spark.range(1, n).selectExpr("id AS file_id", "concat('d/', id) AS path", "if(id % 20 = 0, 'nich und der ist das apache licensed license version under 2 0 the', 'nich und der ist das the') AS text")
+        files = files.union(spark.createDataFrame([(0, "e/0", line)], files.schema))
+        found += [(r["licence"], r["origin"]) for r in licences.scan(files).where("file_id = 0").collect()]
+    assert found == [("Apache-2.0", "header")] * 2
+
+
 # ---- 2 quality rules
 
 

@@ -5,7 +5,7 @@ text. A line at `header` or more is a licence header. A file whose name says so
 `whole` or more, is a licence file: its licence holds for its directory. A file without a header of its own takes
 the licence of the nearest directory above it that has one, found by joining directories on their paths.
 
-Document frequencies are counted over all files. Terms outside the templates weigh as unseen terms do. Only lines
+Document frequencies of all terms are counted over all files, by the terms' 64-bit hashes. Only lines
 with one of a template's `ANCHORS` are compared.
 
 Null texts are empty, null paths have no directory. Rows with the same path are one file each and get their own rows. Of equally near
@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinscope.llm.common import stored
+
 #: Wordings by licence; each is compared on its own.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"),
@@ -52,20 +54,22 @@ def _template_terms() -> list[tuple[str, int, dict[str, int]]]:
     return out
 
 
-def weights(files: DataFrame) -> tuple[dict[str, float], float]:
-    """IDF of the templates' terms (a few hundred at most) over all files, and of an unseen term."""
+def weights(files: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """IDF of the templates' terms (a few hundred at most) over all files, and h and idf of all terms of the files."""
+    spark = files.sparkSession
+    hashes = F.array_distinct(F.transform(terms(F.coalesce("text", F.lit(""))), lambda x: F.xxhash64(x)))  # of longs, which needs no comparison of all pairs
+    n = files.count()
+    idf = lambda df: F.log(F.lit(1.0 + n) / (1 + df)) + 1
+    of_all = stored(files.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df")).select("h", idf(F.col("df")).alias("idf")), "term-weights")
     vocabulary = sorted({t for _, _, counts in _template_terms() for t in counts})
-    known = F.array(*map(F.lit, vocabulary))
-    row = files.select(F.array_intersect(terms(F.coalesce("text", F.lit(""))), known).alias("t"))
-    found = row.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect()
-    n, df = files.count(), {r["t"]: r["df"] for r in found}
-    return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
+    known = spark.createDataFrame([(t,) for t in vocabulary], "t string").withColumn("h", F.xxhash64("t"))
+    found = {r["t"]: r["idf"] for r in of_all.join(F.broadcast(known), "h").select("t", "idf").collect()}
+    return {t: found.get(t, math.log(1 + n) + 1) for t in vocabulary}, of_all
 
 
-def cosines(units: DataFrame, idf: dict[str, float], unseen: float, keys: list[str]) -> DataFrame:
+def cosines(units: DataFrame, idf: dict[str, float], of_all: DataFrame, keys: list[str]) -> DataFrame:
     """keys, licence and cosine of the template nearest to each unit's text. units: keys and `text`."""
     spark = units.sparkSession
-    vocabulary = spark.createDataFrame(list(idf.items()), "t string, idf double")
     rows = []
     for name, k, counts in _template_terms():
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
@@ -73,7 +77,7 @@ def cosines(units: DataFrame, idf: dict[str, float], unseen: float, keys: list[s
     templates = spark.createDataFrame(rows, "licence string, k int, t string, share double")
     split = units.select(*keys, F.explode(F.filter(terms(F.col("text")), lambda x: x != "")).alias("t"))
     tf = split.groupBy(*keys, "t").agg(F.count("*").alias("tf"))
-    tf = tf.join(F.broadcast(vocabulary), "t", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    tf = tf.withColumn("h", F.xxhash64("t")).join(of_all, "h").withColumn("w", F.col("tf") * F.col("idf"))
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = tf.join(F.broadcast(templates), "t").groupBy(*keys, "licence", "k").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     near = dots.join(norms, keys).select(*keys, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
@@ -84,14 +88,14 @@ def cosines(units: DataFrame, idf: dict[str, float], unseen: float, keys: list[s
 def scan(files: DataFrame, header: float = 0.6, whole: float = 0.5) -> DataFrame:
     """file_id, path, licence, cosine and origin (header, directory, none) of every file. files: file_id, path, text."""
     files = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    idf, unseen = weights(files)
+    idf, of_all = weights(files)
     anchored = F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"(?i)(?<![a-z0-9])({'|'.join(ANCHORS)})(?![a-z0-9])"))
     marked = files.select("file_id", "text", anchored.alias("lines")).where(F.size("lines") > 0)
     lines = marked.select("file_id", F.posexplode("lines").alias("line", "text"))
-    of_lines = cosines(lines, idf, unseen, ["file_id", "line"]).where(F.col("cosine") >= header)
+    of_lines = cosines(lines, idf, of_all, ["file_id", "line"]).where(F.col("cosine") >= header)
     own = of_lines.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
     own = own.select("file_id", F.col("best.licence").alias("own"), (-F.col("best.c")).alias("own_cosine"))
-    of_texts = cosines(marked.select("file_id", "text"), idf, unseen, ["file_id"]).where(F.col("cosine") >= whole)
+    of_texts = cosines(marked.select("file_id", "text"), idf, of_all, ["file_id"]).where(F.col("cosine") >= whole)
     of_texts = of_texts.select("file_id", F.col("licence").alias("whole"), F.col("cosine").alias("whole_cosine"))
     paths = files.select("file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
     known = paths.join(own, "file_id", "left").join(of_texts, "file_id", "left")
