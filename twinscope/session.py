@@ -25,9 +25,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a temporary folder where it is unset, as in tests."""
+    """`spark.checkpoint.dir`; a temporary folder where it is unset and Spark runs in one process, as in tests."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='twinscope-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
