@@ -38,6 +38,12 @@ def texts():
     ]
 
 
+def thue_morse(n):
+    """Two words that sums of powers modulo 2**64 can't tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, "en", f"src{k % 2}" if k % 5 else None, len(t) if t else None, "x", k, None, 1) for k, t in enumerate(texts())]
@@ -68,14 +74,34 @@ def test_licence_cosine(spark):
     texts_ = ["Licensed under the Apache License, Version 2.0. Really.", "nothing of that", "the the the"]
     files = spark.createDataFrame([(k, f"d{k}/{k}", t) for k, t in enumerate(texts_)], "file_id long, path string, text string")
     split = lambda t: Counter(x for x in re.split("[^a-z0-9]+", t.lower()) if x)
-    df = Counter(w for t in texts_ for w in split(t))
-    idf = lambda w, known: math.log(4 / (1 + (sum(w in split(t) for t in texts_) if known else 0))) + 1
-    known = {w for ws in licences.TEMPLATES.values() for x in ws for w in split(x)}
-    vec = lambda t: {w: c * idf(w, w in known) for w, c in split(t).items()}
+    idf = lambda w: math.log(4 / (1 + sum(w in split(t) for t in texts_))) + 1
+    vec = lambda t: {w: c * idf(w) for w, c in split(t).items()}
     a, b = vec(texts_[0]), vec(licences.TEMPLATES["Apache-2.0"][0])
     dot = sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
     got = {r["file_id"]: r["cosine"] for r in licences.scan(files).collect()}
-    assert got[0] == pytest.approx(dot, abs=1e-5) and got[1] is None and df["the"]
+    assert got[0] == pytest.approx(dot, abs=1e-5) and got[1] is None
+
+
+def test_licences_equal_sql(spark, docs):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(registry.ORACLES["op1_license_scan"]).df()
+    got = registry.QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.01").toPandas()
+    same_rows(got, want)
+    assert {"header", "directory", "none"} <= set(got["origin"])
+    mit = licences.TEMPLATES["MIT"][2]
+    wrapped = "// Permission is hereby granted, free of\n// charge, to any person obtaining\n// a copy of this software"
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "a/x", "Released under the MIT License."), (1, "a/x", prose(3, 40)), (None, "a/b/y", None), (None, "a/b/z", mit), (None, "a/b/z", "Released under the MIT Licence."), (7, None, prose(4, 30) + "\n\n" + wrapped + "\n \n" + prose(5, 30)), (8, "c/d", prose(6, 900) * 3)]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    con.register("files", files.toPandas())
+    got = licences.scan(files).toPandas()
+    same_rows(got, con.execute(licences.oracle("SELECT file_id, path, text FROM files")).df())
+    assert len(got) == len(rows) and (got["licence"] == "MIT").sum() >= 5
+
+
+def same_rows(got, want):
+    key = lambda df: sorted(tuple("" if x is None or x != x else str(round(x, 5) + 0.0 if isinstance(x, float) else x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
 
 
 def test_licence_weights_of_common_words(spark):
@@ -112,6 +138,18 @@ def test_quality_cases(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_of_repeated_rows_and_null_ids(spark):
+    con = duckdb.connect()
+    shared = "\n".join(f"shared line number {k} with some words in it" for k in range(3))
+    rows = [(k, shared + "\n" + prose(k + 50, 60), "h") for k in range(14)]
+    rows += [rows[0], rows[0], (0, shared + "\n" + prose(99, 60), "h"), (None, shared + "\n" + prose(98, 80), "h"), (None, shared, None), (None, None, "h"), (None, None, "h")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1))
+    con.register("documents", table.toPandas())
+    got = quality.judge(table).toPandas()
+    same_rows(got, con.execute(registry.ORACLES["op2_line_quality"]).df())
+    assert len(got) == len(rows) and (got["n_removed_lines"] == 3).sum() == 18
+
+
 def test_frequent_lines_deplete(spark):
     body = "\n".join(f"shared line number {k} with some words in it" for k in range(9))
     rows = [(k, body + f"\n{prose(k + 50, 8)}", "h") for k in range(15)] + [(99, prose(77, 90), "h")]
@@ -127,7 +165,7 @@ def test_recall(spark):
     x = rng.normal(size=(1500, 24))
     x[600:700] = x[600]
     rows = [(k, [float(v) for v in x[k]], 1) for k in range(1500)] + [(2000, None, 1), (2001, [], 1), (2020, [0.0] * 24, 1), (2040, [float("nan")] * 24, 1), (2060, [1.0] * 3, 1), (2080, [None] + [1.0] * 23, 1)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")).toPandas()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int"), least=50).toPandas()
     assert set(got["query_id"]) == set(range(0, 1500, 20)) and got["vec_id"].max() < 1500
     hit = 0
     for q, part in got.groupby("query_id"):
@@ -142,6 +180,25 @@ def test_recall(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 21, 22, 40])
+def test_few_vectors_and_repeated_ids(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 6))
+    rows = [(k, [float(v) for v in x[k]]) for k in range(n)] + [(n - 1, [float(v) for v in x[n - 1]]), (None, [1.0] * 6)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("uid", F.lit(1))).toPandas()
+    ids = np.array([r[0] for r in rows[:-1]])
+    y = x[ids]
+    for q in range(0, n, 20):
+        score = (y * x[q]).sum(1)
+        order = [ids[i] for i in np.lexsort((ids, -np.round(score, 9))) if ids[i] != q][:20]
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == order
+
+
+def test_lists_in_blocks():
+    first, many = ann.blocks_of(np.array([3, 4, 30, 0, 9, 1, 1]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1, 1]
+
+
 # ---- 4 line dedup
 
 
@@ -206,6 +263,42 @@ def test_long_runs_link(spark):
     assert [r["doc_id"] for r in out] == [0]
 
 
+def test_lines_that_rolling_hashes_confuse(spark):
+    for n in (1024, 4096):
+        rows = list(enumerate(thue_morse(n)))
+        assert all(r["n_removed"] == 0 for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_long_runs_of_several_classes(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 40)
+    monkeypatch.setattr(lines, "LONG_RUN", 16)
+    rng = np.random.default_rng(4)
+    base = "the same long beginning of a line that goes on in its own way: "
+    tails = ["".join(rng.choice(list("abcdef"), 8)) for _ in range(12)]
+    body = []
+    for k in range(150):
+        t = list(tails[k % 12])
+        for _ in range(int(rng.integers(0, 3))):
+            t[rng.integers(0, 8)] = "abcdef"[rng.integers(0, 6)]
+        body.append(base + "".join(t))
+    first = {x: k for k, x in reversed(list(enumerate(body)))}
+    names = sorted(first, key=first.get)
+    root = {x: x for x in names}
+
+    def head(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(names):
+        for z in names[i + 1 :]:
+            if edits(x, z) <= 2:
+                u, v = sorted((head(x), head(z)), key=first.get)
+                root[v] = u
+    out = lines.dedup(spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")).where("text <> ''").collect()
+    assert {r["doc_id"] for r in out} == {first[head(x)] for x in names}
+
+
 # ---- 5 toxicity
 
 
@@ -245,7 +338,6 @@ def test_packing(docs, none):
 
     path = registry.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     out = packing.pack(docs, path).toPandas()
     total = 0
     for k, t in enumerate(texts()):
@@ -320,14 +412,49 @@ def test_jaccard_chains_and_dense_families(spark):
 
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
-    centres = rng.integers(0, 6, (40, jaccard.GROUPS))
-    counts = np.clip(centres[rng.integers(0, 40, 600)] + (rng.random((600, jaccard.GROUPS)) < 0.02), 0, 254).astype(np.uint8)
+    centres = rng.integers(0, 6, (40, 128))
+    counts = np.clip(centres[rng.integers(0, 40, 600)] + (rng.random((600, 128)) < 0.02), 0, 254).astype(np.uint16)
     n = counts.sum(1).astype(np.int64)
-    tree = jaccard.CountTree(counts, n)
-    got = {(int(a), int(b)) for x, y in tree.pairs(tree, 80) for a, b in zip(x, y, strict=True)}
     low = np.minimum(counts[:, None, :], counts[None, :, :]).sum(-1, dtype=np.int64)
-    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(180 * low >= 80 * (n[:, None] + n[None, :])), strict=True)}
-    assert got == want
+    near = 180 * low >= 80 * (n[:, None] + n[None, :])
+    tree = jaccard.CountTree(counts, n)
+    got = [tuple(sorted((int(a), int(b)))) for x, y in tree.pairs(tree, 80) for a, b in zip(x, y, strict=True)]
+    assert sorted(got) == [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    left, right = jaccard.CountTree(counts[:37], n[:37]), jaccard.CountTree(counts[37:], n[37:])
+    got = {(int(a), int(b) + 37) for x, y in left.pairs(right, 80) for a, b in zip(x, y, strict=True)}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(near[:37]), strict=True) if b >= 37}
+
+
+def test_jaccard_blocks_and_hot_shingles(spark):
+    """A family above the size of a block, a passage in all documents, and a document of 30,000 shingles with a near copy."""
+    rng = np.random.default_rng(8)
+    passage, base, rows = prose(33, 60), prose(34, 100).split(), []
+    for k in range(120):
+        own = list(base)
+        for _ in range(int(rng.integers(0, 7))):
+            own[rng.integers(0, len(own))] = f"w{rng.integers(0, 99)}"
+        rows.append((k, " ".join(own)))
+    rows += [(200 + k, passage + " " + prose(400 + k, int(rng.integers(8, 60)))) for k in range(150)]
+    want = brute_components(rows)
+    long = [f"t{k}" for k in rng.integers(0, 10**6, 30_000)]
+    rows += [(900, " ".join(long)), (901, " ".join(long[:1500] + ["other"] + long[1800:]))]
+    want |= {900: (29_996, 900), 901: (len({tuple(x) for x in zip(*(rows[-1][1].split()[k:] for k in range(5)), strict=False)}), 900)}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (40_000, jaccard.BLOCK_BYTES):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, block_bytes=block).collect()}
+        assert got == want
+
+
+def test_bands_of_sizes_that_link():
+    n = np.arange(1, 4000)
+    band = jaccard.bands(n, 80)
+    assert (band[np.minimum(n * 5 // 4, 3999) - 1] - band <= 1).all() and (np.diff(band) >= 0).all()
+
+
+def test_jaccard_words_that_rolling_hashes_confuse(spark):
+    a, b = thue_morse(2048)
+    rows = [(k, " ".join(f"{x}{j}" for j in range(12))) for k, x in enumerate((a, b))]
+    assert {r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
 
 
 # ---- 8 token ids
@@ -354,7 +481,6 @@ def test_token_files(spark, docs, none, tmp_path):
 
     path = registry.tokenizer_path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     idcodec.write_ids(docs, f"file://{tmp_path}/a", path)
     start = 0
     for r in idcodec.read_ids(spark, f"file://{tmp_path}/a").orderBy("doc_id").collect():
@@ -390,7 +516,9 @@ def test_suffix_dedup(docs, none):
     assert suffixes.dedup(none).count() == 0
 
 
-def test_suffix_shards_meet(spark, monkeypatch):
+@pytest.mark.parametrize("meet", [3, 2000])
+def test_suffix_shards_meet(spark, monkeypatch, meet):
+    monkeypatch.setattr(suffixes, "MEET", meet)
     monkeypatch.setattr(suffixes, "SHARD", 4000)
     monkeypatch.setattr(suffixes, "PIECE", 1500)
     passage = prose(90, 60)
@@ -447,6 +575,15 @@ def test_viterbi_is_best_and_streams():
             assert sum(known[i] for i in ids) == best_score(v, marked)
 
 
+def test_pieces_equal_a_search_of_whole_texts():
+    enc = viterbi.encoder(registry.tokenizer_path("piece_bpe_32k.model"))
+    all_ = [t or "" for t in texts()] + list(thue_morse(1024)) + ["donaudampfschifffahrtsgesellschaft " * 3]
+    ids, counts = enc.ids(pa.array(all_))
+    for t, got in zip(all_, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        marked = viterbi.MARK + t.replace(" ", viterbi.MARK) if t else ""
+        assert got.tolist() == [i for part in viterbi.stream(enc.vocabulary, (marked[k : k + 500] for k in range(0, len(marked), 500))) for i in part]
+
+
 def test_sentencepiece_round_trip(docs, none):
     path = registry.tokenizer_path("piece_bpe_32k.model")
     out = {r["doc_id"]: r for r in viterbi.round_trip(docs, path).collect()}
@@ -481,11 +618,10 @@ def test_word_encoder_equals_the_library():
 
     from twinscope.llm.words import WordEncoder
 
-    odd = ["", "  a  b", "a , b", "x\n\ny  z .. ,, q,w", "don't we'll, 's.", "ΑΣ ΣΑ, İstanbul é x", "<|endoftext|> <|startoftext|>a", "a\tb\r\nc \n d", "1,234.5 a_b_.c", "tr  ", "\x1c a\x85b", "中文 字符。日本語, x", "😀 😀,x", ".,a", "a\x00b, c", "é. É, ×, ÷.", "\n", "\na", " "]
+    odd = ["", "  a  b", "a , b", "x\n\ny  z .. ,, q,w", "don't we'll, 's.", "ΑΣ ΣΑ, İstanbul é x", "<|endoftext|> <|startoftext|>a", "a <|endoftext|> b", "x<|ENDOFTEXT|>y <|StartOfText|>", *thue_morse(1024), *thue_morse(4096), "a" * 17 + " " + "a" * 16, "a\tb\r\nc \n d", "1,234.5 a_b_.c", "tr  ", "\x1c a\x85b", "中文 字符。日本語, x", "😀 😀,x", ".,a", "a\x00b, c", "é. É, ×, ÷.", "\n", "\na", " "]
     for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
         path = registry.tokenizer_path(name)
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         all_ = [t or "" for t in texts()] + odd
         ids, counts = WordEncoder(path, kind).ids(pa.array(all_))
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in all_]

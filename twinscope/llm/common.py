@@ -3,23 +3,88 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinscope.session import shared_dir
+
 WHITE = "\\x20\\x09-\\x0D"
 
 
-#: Rows of an Arrow batch: whole texts cross to Python in batches of some megabytes.
+#: Whole texts cross to Python in batches of so many rows and bytes at most (a longer text comes alone).
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: What a task keeps for the next one in its worker (piece tables, powers); called when a task of another kind begins.
+_KEPT: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """run, for mapInArrow; the worker's freed memory goes back to the system when it ends.
+
+    Workers are used again for later stages, so what one stage leaves adds to the next one's peak. keeps: it uses what
+    other tasks of its kind have kept.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_groups(run: Callable) -> Callable:
+    """run, for applyInPandas; as tidy, after a group that was large."""
+
+    def tidied(part: pd.DataFrame) -> pd.DataFrame:
+        let_go()
+        out = run(part)
+        if len(part) > 1000:
+            trim()
+        return out
+
+    return tidied
+
+
+def row_key(*columns: str) -> tuple[Column, Column]:
+    """Two columns, never null, that are equal for rows that are equal in these columns and for no others: the first
+    column as text, and a hash of all and of which are null."""
+    bare = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    nulls = [F.col(c).isNull() for c in columns]
+    return bare[0], F.xxhash64(*bare, *nulls)
+
+
+def let_go() -> None:
+    for forget in _KEPT:
+        forget()
+    _KEPT.clear()
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,26 +92,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one in tests."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf
-    import tempfile
-
-    conf = f"file://{tempfile.mkdtemp(prefix='twinscope-')}"
-    spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/twinscope-{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back, which cuts the lineage durably."""
+    """Writes df as Parquet under the shared folder and reads it back, which cuts the lineage durably. Row groups are
+    small, as each writing task holds one in memory."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/twinscope-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/twinscope-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Runs of at most `rows` rows whose texts hold about `most` bytes; a longer text comes alone."""
     texts = batch.column(column)
@@ -87,21 +154,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def heads(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the next eight bytes of each run raw[start:start + size], zeros after its end.
+
+    With its size they are the run itself, where that is 16 at most.
+    """
+    padded = np.zeros(len(raw) + 24, np.uint8)
+    padded[: len(raw)] = raw
+    words = np.ndarray((len(raw) + 16,), "<u8", buffer=padded, strides=(1,))
+    return words[start] & _LOW_BYTES[np.minimum(size, 8)], words[start + 8] & _LOW_BYTES[np.clip(size - 8, 0, 8)]
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes: of short ones from the bytes themselves, of others by XXH3."""
+    import xxhash
+
+    one, two = heads(raw, start, size)
+    h = mixed(mixed(one + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ two * np.uint64(0xC2B2AE3D27D4EB4F))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        data = raw.tobytes()
+        h[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), (start[long] + size[long]).tolist(), strict=True)), np.uint64, len(long))
+    return h
+
+
+def wide_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit XXH3 of each run."""
+    import xxhash
+
+    data = raw.tobytes()
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), ">u8").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
+
+
 class RollingHash:
     """Hashes of byte runs of one buffer: sums of byte values times powers of an odd base, modulo 2**64.
 
-    `of(start, length)` gives equal values for equal runs of equal length.
+    `of(start, length)` gives equal values for equal runs of equal length. Different runs can have equal values (some
+    long regular ones do in every base), so these hashes choose candidates and never decide that runs are equal.
     """
 
     BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, raw: np.ndarray, seed: int = 0):
+    def __init__(self, raw: np.ndarray):
         n = len(raw)
-        base, inverse = (self.BASE + 2 * seed) % 2**64, pow(self.BASE + 2 * seed, -1, 2**64)
-        self.down = _powers(inverse, n + 1)
+        self.down = _powers(pow(self.BASE, -1, 2**64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        values = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1000 + seed))[raw]
-        np.cumsum(values * _powers(base, n + 1)[:n], out=self.sums[1:])
+        values = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1000))[raw]
+        values *= _powers(self.BASE, n + 1)[:n]
+        np.cumsum(values, out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mixed((self.sums[start + length] - self.sums[start]) * self.down[start])
@@ -120,6 +224,8 @@ def _powers(base: int, n: int) -> np.ndarray:
         if size > 1 << 21:  # one very long text; not kept
             return have[:n]
         _POWERS[base] = have
+        if _POWERS.clear not in _KEPT:
+            _KEPT.append(_POWERS.clear)
     return have[:n]
 
 

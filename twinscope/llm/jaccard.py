@@ -1,18 +1,25 @@
-"""N-gram Jaccard join over a count-vector R-tree.
+"""N-gram Jaccard join over count-vector R-trees.
 
-A document's set is its distinct five-word shingles. Shingles are hashed into GROUPS groups; the counts of the groups
-are a point. The summed coordinate minima of two points bound the overlap of their sets from above, and those of two
+A document's set is its distinct five-word shingles. Shingles are hashed into groups; the counts of the groups are a
+point. The summed coordinate minima of two points bound the overlap of their sets from above, and those of two
 bounding boxes bound all pairs below them, so an R-tree over the points leaves out pairs that can't link.
 
-Equal sets are one node. Two sets that link share one of the smallest `n - ceil(t n) + 1` hashes of each, so nodes
-meet only in the runs of such a key:
-1. In each run, all nodes are held against the smallest one: as many pairs as rows, which already joins dense families.
-2. What a run still holds of different components is paired: in short runs directly, in long ones by the R-tree,
-   in blocks by set size so that no task holds a whole hot run.
-Pairs that pass the bound are verified on their whole sets. A fixed-size Bloom filter picks the texts to read again.
-
-Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one node. Null
-doc_ids link with nothing. An empty table gives no rows; other columns are ignored.
+1. A sketch of fixed size counts all shingles of all documents. It orders the shingles, rare ones first; any one order
+   would do for exact results, this one keeps common passages from bringing documents together.
+2. Equal sets are one node. Two sets that link share one of the first `n - ceil(t n) + 1` shingles of each in that
+   order, so links lie inside of groves: nodes that such shingles connect, where their sizes can link.
+3. Each grove has an R-tree over its points. Pairs that the tree leaves are verified on their whole sets, one by one
+   from the first node on; pairs that verified links connect already are left out.
+4. A grove of more than `block_bytes` has a tree for each block of it, and each block also takes the grove's first node
+   in, which joins most of a dense family. Blocks of a grove that is not of one component then meet: what stands
+   outside of the grove's largest component meets all of the grove.
+
+A salt deals the rows of a common shingle to several tasks. A fixed-size Bloom filter picks the texts to read again.
+Shingles are known by 53-bit hashes, which are compared only within a grove.
+
+Null, empty and blank texts have no shingles and link with nothing. Rows that share a doc_id are one node, by which
+the links of all of them hold together. Null doc_ids link with nothing. An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,24 +27,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, list_array, mixed, packed, slices, stored, whole, words_of
+from twinscope.llm.common import Bloom, dropped, list_array, mixed, packed, run_hashes, slices, stored, tidy, whole, words_of
 from twinscope.llm.components import components
 
-GROUPS = 128
-#: Groups of the finer counts that sets above FINE_FROM have too; their points crowd together in few groups.
-FINE = 2048
-FINE_FROM = 800
 SIZE = 5
 LOW = np.uint64((1 << 53) - 1)
-SHORT = 48
-BLOCK = 4096
 FANOUT = 16
-PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, counts binary, fine binary"
+SALTS = 64
+#: Slots of the sketch: from 2**12 to 2**MOST_BITS, 1024 to a document.
+MOST_BITS = 24
+#: Slots travel in blocks.
+SLOT_BLOCK = 1 << 18
+#: Texts of a grove whose sets one tree holds, in bytes (and 512 for each).
+BLOCK_BYTES = 8 << 20
+#: Large groves whose block counts are broadcast, 12 bytes each; beyond, they are joined.
+MOST_LARGE = 100_000
+PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, common int"
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +59,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(starts) - 1
     if not len(first):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    size = (last - first).astype(np.uint64)
-    word = mixed(RollingHash(raw).of(first, last - first) + size)
+    word = run_hashes(raw, first, last - first)
 
     def chained(at: np.ndarray, count: int) -> np.ndarray:
         h = np.full(len(at), count, np.uint64)
@@ -77,49 +85,84 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def profile(docs: DataFrame, percent: int) -> DataFrame:
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """bits, and for each of 2**bits slots how common its shingles are: 12 log2(1 + count over all documents), a byte."""
+    bits = min(MOST_BITS, max(12, (1024 * docs.count()).bit_length()))
+    block = min(SLOT_BLOCK, 1 << bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint16)
+        texts = 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(counts), block):
+                planes = counts[k : k + block].view(np.uint8).reshape(-1, 2).T.tobytes()  # low bytes, then high ones
+                yield pa.RecordBatch.from_arrays([pa.array([k // block], pa.int32()), pa.array([pa.compress(planes, "zstd", asbytes=True)], pa.binary())], names=["block", "counts"])
+
+        for batch in batches:
+            for part in slices(batch):
+                h, _ = shingles(part.column("text"))
+                np.add.at(counts, slot(h, bits), 1)
+                texts += part.num_rows
+                if texts > 30_000:  # before a count is full
+                    yield from given()
+                    counts[:], texts = 0, 0
+        if texts:
+            yield from given()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                sums.setdefault(k, np.zeros(block, np.int64))
+                low, high = np.frombuffer(pa.decompress(x.as_buffer(), 2 * block, "zstd"), np.uint8).reshape(2, -1)
+                sums[k] += low
+                sums[k] += high.astype(np.int64) << 8
+        for k, x in sums.items():
+            level = np.minimum(255, np.round(12 * np.log2(1.0 + x))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "counts"])
+
+    kind = "block int, counts binary"
+    found = docs.select("text").mapInArrow(tidy(count), kind).repartition("block").mapInArrow(tidy(total), kind).collect()  # 2**MOST_BITS bytes at most
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in found:
+        levels[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], np.uint8)
+    return bits, levels
+
+
+def profile(docs: DataFrame, percent: int, bits: int, levels: np.ndarray) -> DataFrame:
+    """Per row: the size of its set, the two halves of the set's hash, its prefix, and how many shingles at the end of
+    the prefix are common."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    usual = float(np.median(levels)) if len(levels) else 0.0
+    common = usual + 96  # counts 256 times the usual one, or more
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 h, bounds = shingles(part.column("text"))
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(len(n)), n)
-                sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
+                sums = []
                 for k in range(2):
-                    total = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(k * 0x5851F42D4C957F2D))))
-                    sums[k] = total[bounds[1:]] - total[bounds[:-1]]
-                counts = np.bincount(row * GROUPS + (mixed(h) >> np.uint64(57)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-                wide = (counts > 254).any(1)
-                counts[wide] = 255  # too large for a byte: no bound
-                fine: list[bytes | None] = [None] * len(n)
-                for i in np.flatnonzero(n >= FINE_FROM).tolist():
-                    many = np.bincount((mixed(h[bounds[i] : bounds[i + 1]]) >> np.uint64(53)).astype(np.int64), minlength=FINE)
-                    fine[i] = many.astype(np.uint8).tobytes() if many.max() < 256 else None
+                    ends = np.append(np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(k * 0x5851F42D4C957F2D))))
+                    sums.append(ends[bounds[1:]] - ends[bounds[:-1]])
+                level = shared.value[slot(h, bits)]
+                order = np.argsort(row << 8 | level, kind="stable")  # h ascends in each row
                 p = np.where(n > 0, n - needed(n, percent) + 1, 0)
-                ends = np.cumsum(p)
-                at = np.repeat(bounds[:-1] - (ends - p), p) + np.arange(int(p.sum()))
-                data = counts.astype(np.uint8)
+                last = np.cumsum(p)
+                at = order[np.repeat(bounds[:-1] - (last - p), p) + np.arange(int(p.sum()))]
+                often = np.append(0, np.cumsum(level[at] >= common))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, ends), pa.int64()), pa.array([x.tobytes() for x in data], pa.binary()), pa.array(fine, pa.binary())],
-                    names=["doc_id", "n", "one", "two", "prefix", "counts", "fine"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, last), pa.int64()), pa.array((often[last] - often[last - p]).astype(np.int32))],
+                    names=["doc_id", "n", "one", "two", "prefix", "common"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PROFILE)
-
-
-def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Summed coordinate minima of rows of a and b; without limit where a count didn't fit."""
-    out = np.minimum(a, b).sum(-1, dtype=np.int64)
-    out[(a[..., 0] == 255) & (a.min(-1) == 255) | (b[..., 0] == 255) & (b.min(-1) == 255)] = 1 << 40
-    return out
-
-
-def finer(most: np.ndarray, a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
-    """The bounds, lowered by the finer counts where both sets have these."""
-    for i, (u, w) in enumerate(zip(a, b, strict=True)):
-        if u is not None and w is not None:
-            most[i] = min(most[i], np.minimum(np.frombuffer(u, np.uint8), np.frombuffer(w, np.uint8)).sum(dtype=np.int64))
-    return most
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PROFILE)
 
 
 def may_link(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -128,12 +171,26 @@ def may_link(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) ->
     return (100 + percent) * overlap >= percent * (n + m)
 
 
+def points(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Count vectors of sets: as many groups as the largest set has members, between 64 and 1024."""
+    n = len(bounds) - 1
+    size = np.diff(bounds)
+    groups = 1 << min(10, max(6, int(size.max(initial=1)).bit_length()))
+    group = (mixed(h) >> np.uint64(32)).astype(np.int64) % groups
+    counts = np.zeros((n, groups), np.uint16 if size.max(initial=0) < 1 << 16 else np.uint32)
+    for a in range(0, n, 512):
+        b = min(n, a + 512)
+        cell = np.repeat(np.arange(b - a), size[a:b]) * groups + group[bounds[a] : bounds[b]]
+        counts[a:b] = np.bincount(cell, minlength=(b - a) * groups).reshape(b - a, groups)
+    return counts
+
+
 class CountTree:
-    """A packed R-tree over count vectors. Boxes keep their upper corner and their smallest set size."""
+    """A packed R-tree over count vectors. Boxes keep their upper corner and their smallest and largest set size."""
 
     def __init__(self, counts: np.ndarray, n: np.ndarray):
-        coarse = counts[:, : GROUPS // 2].sum(1, dtype=np.int64)
-        self.order = np.lexsort((coarse, n))  # by size, then by weight of half of the groups
+        half = counts[:, : counts.shape[1] // 2].sum(1, dtype=np.int64)
+        self.order = np.lexsort((half, n))  # by size, then by weight of half of the groups
         self.levels = [(counts[self.order], n[self.order], n[self.order])]
         while len(self.levels[-1][1]) > 1:
             top, least, most = self.levels[-1]
@@ -141,214 +198,273 @@ class CountTree:
             self.levels.append((np.maximum.reduceat(top, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)))
 
     def pairs(self, other: CountTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows (of self, of other) that the bound leaves."""
-        mine, theirs = self._raised(other), other._raised(self)
-        level = len(mine) - 1
-        a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        stack = [(level, a, b)]
+        """Pairs of rows (of self, of other) that the bound leaves; with itself, each pair of two rows once."""
+        mine, theirs, alike = self._raised(other), other._raised(self), other is self
+        stack = [(len(mine) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > 1 << 16:
+            if len(a) > 1 << 12:
                 stack += [(level, x, y) for x, y in zip(np.array_split(a, 16), np.array_split(b, 16), strict=True)]
                 continue
             (top, least, most), (top2, least2, most2) = mine[level], theirs[level]
-            size = (100 * np.minimum(most[a], most2[b]) >= percent * np.maximum(least[a], least2[b]))
-            a, b = a[size], b[size]
-            keep = may_link(np.minimum(bound(top[a], top2[b]), np.minimum(most[a], most2[b])), np.minimum(least[a], 1 << 40), least2[b], percent) if level == 0 else (100 + percent) * bound(top[a], top2[b]) >= percent * (least[a] + least2[b])
+            near = 100 * np.minimum(most[a], most2[b]) >= percent * np.maximum(least[a], least2[b])
+            a, b = a[near], b[near]
+            low = np.minimum(top[a], top2[b]).sum(-1, dtype=np.int64)
+            keep = may_link(low, most[a], most2[b], percent) if level == 0 else (100 + percent) * low >= percent * (least[a] + least2[b])
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
             if level == 0:
+                if alike:
+                    a, b = a[a < b], b[a < b]
                 yield self.order[a], other.order[b]
                 continue
-            na, nb = len(mine[level - 1][1]), len(theirs[level - 1][1])
-            fa, fb = (FANOUT if len(mine[level][1]) * FANOUT >= na and len(mine[level][1]) < na else 1), (FANOUT if len(theirs[level][1]) * FANOUT >= nb and len(theirs[level][1]) < nb else 1)
+            fa, fb = (FANOUT if mine[level] is not mine[level - 1] else 1), (FANOUT if theirs[level] is not theirs[level - 1] else 1)
             x = (a[:, None, None] * fa + np.arange(fa)[None, :, None] + 0 * np.arange(fb)[None, None, :]).ravel()
             y = (b[:, None, None] * fb + np.arange(fb)[None, None, :] + 0 * np.arange(fa)[None, :, None]).ravel()
-            fine = (x < na) & (y < nb)
-            stack.append((level - 1, x[fine], y[fine]))
+            inside = (x < len(mine[level - 1][1])) & (y < len(theirs[level - 1][1]))
+            if alike:
+                inside &= x <= y
+            stack.append((level - 1, x[inside], y[inside]))
 
     def _raised(self, other: CountTree) -> list:
         """The levels, with the root repeated up to the height of the other tree."""
         return self.levels + [self.levels[-1]] * (len(other.levels) - len(self.levels))
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(h: np.ndarray, bounds: np.ndarray, percent: int, label: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between the sets that connect all that links connect. label: components so far, changed in place. sides: 0
+    and 1; only pairs across are held against each other."""
+    n = np.diff(bounds)
+    counts = points(h, bounds)
+    if sides is None:
+        tree = CountTree(counts, n)
+        found = [(np.minimum(a, b), np.maximum(a, b)) for a, b in tree.pairs(tree, percent)]
+    else:
+        left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+        if not len(left) or not len(right):
+            return []
+        found = [(left[a], right[b]) for a, b in CountTree(counts[left], n[left]).pairs(CountTree(counts[right], n[right]), percent)]
+    if not found:
+        return []
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-    return a[new], b[new]
-
-
-def first_round(keys: DataFrame) -> DataFrame:
-    """kind 0: pairs of a run's smallest node and another; kind 1: key and node of every run of three or more."""
+    if not len(a):
+        return []
+    begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    made = []
+    for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(a)], strict=True):
+        i = int(a[s])
+        other = b[s:e][label[b[s:e]] != label[i]]
+        if not len(other):
+            continue
+        mine, size = h[bounds[i] : bounds[i + 1]], n[other]
+        ends = np.cumsum(size)
+        all_ = h[np.repeat(bounds[other] - (ends - size), size) + np.arange(int(ends[-1]))]
+        at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+        common = np.add.reduceat(mine[at] == all_, ends - size, dtype=np.int64)
+        for j in other[100 * common >= percent * (n[i] + size - common)].tolist():
+            u, w = int(label[i]), int(label[j])
+            if u != w:
+                label[label == max(u, w)] = min(u, w)
+                made.append((i, j))
+    return made
+
+
+def bands(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes that can link are in one band or in two that follow each other."""
+    return np.floor(np.log(n) / np.log(100 / percent) * (1 - 1e-9)).astype(np.int64)
+
+
+def chains(keys: DataFrame, percent: int) -> DataFrame:
+    """kind 0: pairs of nodes that connect all nodes of a key whose sizes can link: nodes in the order of size, each with
+    the next one. Of a common key, which a salt deals to several partitions, the nodes of a size band are connected
+    there, and kind 1 has the key, the band and one of these nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node = whole(batches, "key", "node")
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        if not len(key):
-            return
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(begin, len(key)))
-        hub = np.repeat(node[begin], size)
-        a, b = _distinct_pairs(hub[hub != node], node[hub != node])
-        long = np.repeat(size, size) >= 3
-        kind = np.append(np.zeros(len(a), np.int32), np.ones(int(long.sum()), np.int32))
-        out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(a, key[long])), pa.array(np.append(b, node[long]))], names=["kind", "a", "b"])
+        key, node, n = whole(batches, "key", "node", "n")
+        common, n = n < 0, np.abs(n).astype(np.int64)
+        size = np.where(common, bands(np.maximum(n, 1), percent), n)
+        order = np.lexsort((size, key))
+        key, node, common, size = key[order], node[order], common[order], size[order]
+        same = key[1:] == key[:-1]
+        near = same & np.where(common[1:], size[1:] == size[:-1], 100 * size[:-1] >= percent * size[1:])
+        at = np.flatnonzero(near)
+        pairs = np.unique(np.stack([node[at], node[at + 1]], 1), axis=0)
+        tops = np.flatnonzero(common & np.append(True, ~near)[: len(key)])
+        kind = np.append(np.zeros(len(pairs), np.int32), np.ones(len(tops), np.int32))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(kind), pa.array(np.append(pairs[:, 0], key[tops])), pa.array(np.append(pairs[:, 1], node[tops])), pa.array(np.append(0 * pairs[:, 0], size[tops]))], names=["kind", "a", "b", "band"]
+        )
         for k in range(0, out.num_rows, 1 << 17):
             yield out.slice(k, 1 << 17)
 
-    return keys.repartition("key").mapInArrow(run, "kind int, a long, b long")
+    salted = F.when(F.col("n") < 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
+    return keys.repartition("key", salted).select("key", "node", "n").mapInArrow(tidy(run), "kind int, a long, b long, band long")
 
 
-def second_round(runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of runs with several components. kind 0: pairs of short runs; kind 1: key, node and component of long runs."""
+def tops_chained(tops: DataFrame) -> DataFrame:
+    """Pairs that connect the nodes of a common key's bands: each with the next one, if their bands are equal or follow
+    each other. tops: SALTS rows for each key and band at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, label = whole(batches, "key", "node", "label")
-        order = np.lexsort((node, key))
-        key, node, label = key[order], node[order], label[order]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        pairs, long = [], []
-        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=False):
-            own = label[s + 1 : e]  # pairs with the smallest node are done
-            if len(own) < 2 or (own == own[0]).all():
-                continue
-            if e - s > SHORT:
-                long.append((s + 1, e))
-                continue
-            i, j = np.triu_indices(len(own), 1)
-            other = own[i] != own[j]
-            pairs.append((node[s + 1 + i[other]], node[s + 1 + j[other]]))
-        a, b = _distinct_pairs(*(np.concatenate(x) for x in zip(*pairs, strict=True))) if pairs else (np.zeros(0, np.int64),) * 2
-        at = np.concatenate([np.arange(s, e) for s, e in long]) if long else np.zeros(0, np.int64)
-        kind = np.append(np.zeros(len(a), np.int32), np.ones(len(at), np.int32))
-        out = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(a, key[at])), pa.array(np.append(b, node[at])), pa.array(np.append(0 * a, label[at]))], names=["kind", "a", "b", "label"])
-        for k in range(0, out.num_rows, 1 << 17):
-            yield out.slice(k, 1 << 17)
+        key, node, band = whole(batches, "key", "node", "band")
+        order = np.lexsort((band, key))
+        key, node, band = key[order], node[order], band[order]
+        at = np.flatnonzero((key[1:] == key[:-1]) & (band[1:] - band[:-1] <= 1))
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + 1])], names=["a", "b"])
+
+    return tops.repartition("key").mapInArrow(tidy(run), "a long, b long")
+
+
+def groves(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node and grove (its smallest node) of all nodes that share a prefix shingle with another of a size that can link."""
+    of_nodes = rows.select(F.col("doc_id").alias("node"), "n", "prefix", "common").join(nodes, "node", "left_semi")
+    keys = of_nodes.select("node", "n", (F.size("prefix") - F.col("common")).alias("from"), F.posexplode("prefix").alias("place", "key"))
+    keys = keys.select("node", "key", F.when(F.col("place") >= F.col("from"), -F.col("n")).otherwise(F.col("n")).cast("int").alias("n"))
+    found = stored(chains(keys, percent), "chains")
+    above = tops_chained(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "band"))
+    edges = stored(found.where("kind = 0").select("a", "b").union(above).where("a <> b").distinct(), "chain-edges")
+    out = stored(components(edges, "a", "b", "groves").withColumnRenamed("component", "grove"), "groves")
+    dropped(found)
+    dropped(edges)
+    return out
 
-    rows = runs.select(F.col("a").alias("key"), F.col("b").alias("node")).join(labels, "node", "left")
-    return rows.select("key", "node", F.coalesce("component", "node").alias("label")).repartition("key").mapInArrow(run, "kind int, a long, b long, label long")
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, grove, text and a weight in bytes of the nodes' rows; a Bloom filter picks the texts to read again. Texts
+    travel, as they are smaller than their sets."""
+    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(nodes.select(F.xxhash64("node").alias("h"))))
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the count vectors leave."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(picked.value.has(batch.column("h").to_numpy()))).select(["node", "text"])
+
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text")
+    rows = rows.withColumn("h", F.xxhash64("node")).mapInArrow(tidy(pick), "node long, text string")
+    return rows.join(nodes, "node").withColumn("weight", (F.octet_length("text") + 512).cast("long"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal values of the columns `by`, one run after the other."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in by]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            value = tuple(int(c[s]) for c in cols)
+            if kept and value != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(s, e - s))
+            last = value
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _sets(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each row's text, and their bounds."""
+    found = [shingles(x.column("text")) for batch in part.combine_chunks().to_batches() for x in slices(batch)]
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in found])
+    return np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(sizes))
+
+
+_LINKS = "a long, b long"
+
+
+def _made(node: np.ndarray, made: list[tuple[int, int]]) -> pa.RecordBatch:
+    i = np.array(made, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(node[i[:, 0]]), pa.array(node[i[:, 1]])], names=["a", "b"])
+
+
+def tree_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links inside of groves, or of the blocks of large ones, that connect all which links there connect."""
+    sizes = sets.groupBy("grove").agg(F.sum("weight").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block_bytes).cast("int")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    everywhere = F.when(F.col("node") == F.col("grove"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    large = stored(sizes.select("grove", "blocks"), "large-groves")
+    if large.isEmpty():
+        put = sets.withColumn("blocks", F.lit(1))
+    elif large.count() <= MOST_LARGE:
+        put = sets.join(F.broadcast(large), "grove", "left")
+    else:
+        put = sets.join(large, "grove", "left")
+    put = put.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(everywhere))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("ca", "cb"))
-            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = finer(bound(x, y), batch.column("fa").to_pylist(), batch.column("fb").to_pylist())
-            keep = may_link(most, n, m, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    of = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"), F.col("fine").alias(f"f{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "ca", "cb", "fa", "fb").mapInArrow(run, "a long, b long")
-
-
-def tree_pairs(long: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in long runs that the R-tree leaves. A run is cut by set size, then into blocks that
-    meet in pairs. A pair is given in the first of the long runs that hold both."""
-    ratio = float(np.log(100 / percent))
-    rows = long.select(F.col("a").alias("key"), F.col("b").alias("node"), "label")
-    of_node = rows.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a prefix has, at most
-    earlier = F.filter("keys", lambda k: k < F.col("key"))
-    rows = rows.join(of_node, "node").withColumn("earlier", earlier).drop("keys")
-    rows = rows.join(points, "node").withColumn("band", F.floor(F.log("n") / F.lit(ratio)).cast("int"))
-    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("c"))
-    wide = sizes.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).groupBy("key", "band").agg(F.sum("c").alias("c"))
-    # a row meets its own band as "own" and the next band as "lower"
-    put = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("side")).join(wide, ["key", "band"])
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    put = put.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    put = put.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(part["counts"]), np.uint8).reshape(-1, GROUPS)
-        node, n, side, block, label = (part[c].to_numpy() for c in ("node", "n", "side", "own", "label"))
-        earlier, fine = [frozenset(k.tolist()) for k in part["earlier"]], part["fine"].to_list()
-        x, y = part["x"].iloc[0], part["y"].iloc[0]
-        found = []
-
-        def meet(i: np.ndarray, j: np.ndarray) -> None:
-            if len(i) and len(j):
-                for a, b in CountTree(counts[i], n[i]).pairs(CountTree(counts[j], n[j]), percent):
-                    p, q = i[a], j[b]
-                    other = label[p] != label[q]
-                    p, q = p[other], q[other]
-                    first = [earlier[u].isdisjoint(earlier[v]) for u, v in zip(p.tolist(), q.tolist(), strict=True)]
-                    p, q = p[first], q[first]
-                    if len(p):
-                        keep = may_link(finer(bound(counts[p], counts[q]), [fine[u] for u in p.tolist()], [fine[v] for v in q.tolist()]), n[p], n[q], percent)
-                        u, v = node[p[keep]], node[q[keep]]
-                        found.append((np.minimum(u, v), np.maximum(u, v)))
-
-        upper, lower = np.flatnonzero((side == 0) & (block == x)), np.flatnonzero((side == 1) & (block == x))
-        upper2, lower2 = np.flatnonzero((side == 0) & (block == y)), np.flatnonzero((side == 1) & (block == y))
-        meet(upper, upper2)
-        meet(upper, lower2)
-        if x != y:
-            meet(upper2, lower)
-        a, b = _distinct_pairs(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
-
-    return put.groupBy("key", "band", "x", "y").applyInPandas(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64("node").alias("h"))))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(picked.value.has(batch.column("h").to_numpy())))
-            for part in slices(batch):
-                h, bounds = shingles(part.column("text"))
-                data = h.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([data[8 * a : 8 * b] for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.binary())], names=["node", "members"])
+        for part in _groups(batches, "grove", "block"):
+            node = part.column("node").to_numpy()
+            part = part.take(np.argsort(node, kind="stable"))
+            node = np.sort(node)
+            h, bounds = _sets(part)
+            same = np.searchsorted(node, node)  # rows that share a doc_id are one node
+            made = linked(h, bounds, percent, same)
+            if made:
+                yield _made(node, made)
+
+    rows = put.select("grove", "block", "node", "text").repartition("grove", "block").sortWithinPartitions("grove", "block")
+    return rows.mapInArrow(tidy(run), _LINKS)
+
+
+def no_links(sets: DataFrame) -> DataFrame:
+    """No links."""
+    return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+
+
+def cross_links(sets: DataFrame, labels: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links across the blocks of groves that hold several components: what is outside of a grove's largest component
+    meets all of it."""
+    sizes = sets.groupBy("grove").agg(F.sum("weight").alias("total")).withColumn("blocks", F.ceil(F.col("total") / block_bytes).cast("int")).where("blocks > 1")
+    if sizes.isEmpty():
+        return no_links(sets)
+    rows = sets.join(sizes, "grove").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "total")
+    weights = rows.groupBy("grove", "label").agg(F.sum("weight").alias("w"))
+    largest = weights.groupBy("grove").agg(F.max(F.struct("w", "label")).alias("m"), F.count("*").alias("parts"), F.sum("w").alias("total"))
+    largest = largest.where("parts > 1").select("grove", F.col("m.label").alias("main"), F.ceil((F.col("total") - F.col("m.w")) / block_bytes).cast("int").alias("asking"))
+    rows = rows.join(largest, "grove")
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    asked = rows.where("label <> main").withColumn("side", F.lit(0)).withColumn("x", own("asking")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    given = rows.withColumn("side", F.lit(1)).withColumn("y", own("blocks")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)))
+    put = asked.unionByName(given)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.sort(np.concatenate([u, v]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(u) + len(v) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "grove", "x", "y"):
+            node, side, label = (part.column(c).to_numpy() for c in ("node", "side", "label"))
+            h, bounds = _sets(part)
+            _, label = np.unique(label, return_inverse=True)
+            made = linked(h, bounds, percent, label, side)
+            if made:
+                yield _made(node, made)
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("doc_id"))
-    members = rows.mapInArrow(sets, "node long, members binary").join(ids, "node", "left_semi")
-    of = lambda c: members.select(F.col("node").alias(c), F.col("members").alias(f"m{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long").distinct()
+    rows = put.select("grove", "x", "y", "node", "side", "label", "text").repartition("grove", "x", "y").sortWithinPartitions("grove", "x", "y")
+    return rows.mapInArrow(tidy(run), _LINKS)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = stored(profile(docs, percent), "profiles")
+    bits, levels = sketch(docs)
+    rows = stored(profile(docs, percent, bits, levels), "profiles")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
+    classes = stored(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.select("node").distinct()
-    points = full.select(F.col("doc_id").alias("node"), "n", "prefix", "counts").join(nodes, "node", "left_semi")
-    keys = points.select("node", F.explode("prefix").alias("key"))
-    runs = stored(first_round(keys), "runs")
-    pairs = stored(runs.where("kind = 0").select("a", "b").distinct(), "pairs")
-    vectors = full.select(F.col("doc_id").alias("node"), "n", "counts", "fine").join(nodes, "node", "left_semi")
-    # rows that share a doc_id are linked by it
-    links = stored(verified(stored(bounded(pairs, vectors, percent).distinct(), "bounded"), docs, percent), "links")
+    of_groves = groves(full, nodes, percent)
+    sets = stored(texts_of(docs, of_groves), "grove-texts")
+    links = stored(tree_links(sets, percent, block_bytes), "links")
     labels = components(links, "a", "b")
-    rest = stored(second_round(runs.where("kind = 1"), labels), "rest")
-    long = rest.where("kind = 1")
-    more = rest.where("kind = 0").select("a", "b").distinct()
-    more = more.union(tree_pairs(long, vectors, percent)).distinct()
-    labelled = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
-    more = more.join(labelled("a"), "a", "left").join(labelled("b"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-    more = stored(bounded(more, vectors, percent), "more")
+    more = stored(cross_links(sets, labels, percent, block_bytes), "more")
+    # equal sets are one class by the smallest doc_id; a doc_id of several rows belongs to each of their classes
+    several = full.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    tied = full.join(several, "doc_id").join(classes, ["n", "one", "two"]).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    more = stored(more.union(tied.distinct()), "all-links")
     if not more.isEmpty():
-        links = stored(links.union(verified(more, docs, percent)), "links")
-        labels = components(links, "a", "b")
+        labels = components(links.union(more), "a", "b")
+    dropped(sets)
     out = rows.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left").join(labels, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
