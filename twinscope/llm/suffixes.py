@@ -6,11 +6,13 @@
    share, so that equals meet; shards are of bounded size, and what is too large for one is dealt to several. Each shard's suffix array is refined by doubling (Larsson-Sadakane),
    Kasai's common prefixes give the windows that repeat in the shard.
 3. Of anchors that other shards have too, windows that don't repeat in the shard, and one of each class of those that
-   do, are merged across shards: sorted runs, joined by binary search.
+   do, go on as runs of text, dealt by the half of their bytes that lies around the anchor. What meets there is merged:
+   each shard's windows are sorted by their bytes and sought in those of other shards by binary search.
 4. Repeating windows are united to spans, and removed from the whole texts.
 
-Texts are UTF-8 bytes, null is empty; matches don't cross documents. Rows are judged one by one: repeated rows are
-copies of each other and go whole, from `size` bytes on; against others one of them stands for all. An empty table gives no rows; other columns are ignored.
+Texts are UTF-8 bytes, null is empty; matches don't cross documents. Each row is a document, also where doc_ids repeat
+or are null: rows of equal texts (known by a 64-bit hash) are copies of each other and go whole, from `size` bytes on;
+against others one of them stands for all. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, packed, slices, stored
+from twinscope.llm.common import Bloom, RollingHash, dropped, packed, run_hashes, slices, stored, tidy, tidy_groups
 
 GRAM = 32
 CHUNK = 1 << 20
@@ -31,10 +33,14 @@ SHARD = 700_000
 PIECE = 300_000
 #: A document is dealt by an anchor of so few occurrences, if it has one: passages of many documents come after copies.
 RARE = 50
+#: Rows of a key, or of many keys, whose windows are merged at once.
+MEET = 2000
+#: An anchor with more than this share of all occurrences is joined by broadcast; there are fewer than its inverse.
+HOT_SHARE = 0.001
 
 
-def anchors_of(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, first window and last window (places in raw) of every anchor."""
+def anchors_of(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """hash, first window, last window and gram (places in raw) of every anchor."""
     out = []
     w = size - GRAM + 1
     for base in range(0, len(raw), CHUNK):
@@ -60,30 +66,31 @@ def anchors_of(raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarr
         # windows of a document end where the next one begins; the run may go on over places that are no windows
         begin, end = begin[good], end[good]
         limit = starts[row[begin]] - size + 1 - base
-        out.append((grams[at[begin]], base + begin, base + np.minimum(end, limit) - 1))
+        out.append((grams[at[begin]], base + begin, base + np.minimum(end, limit) - 1, base + at[begin]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """h, rid, lo, hi: the windows that start at lo to hi of a row's text have the anchor h."""
+    """h, rid, lo, hi, g: the windows that start at lo to hi of a row's text have the anchor h, whose gram is at g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
-                h, lo, hi = anchors_of(raw, starts, size)
+                h, lo, hi, g = anchors_of(raw, starts, size)
                 row = np.searchsorted(starts, lo, side="right") - 1
                 rid = part.column("rid").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid), pa.array((lo - starts[row]).astype(np.int64)), pa.array((hi - starts[row]).astype(np.int64))], names=["h", "rid", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rid), pa.array((lo - starts[row]).astype(np.int64)), pa.array((hi - starts[row]).astype(np.int64)), pa.array((g - starts[row]).astype(np.int64))], names=["h", "rid", "lo", "hi", "g"])
 
-    return docs.select("rid", "text").mapInArrow(run, "h long, rid long, lo long, hi long")
+    return docs.select("rid", "text").mapInArrow(tidy(run), "h long, rid long, lo long, hi long, g long")
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `depth` bytes at least, marks of those that differ there from the one before, and
-    the text's 8-byte words. Zeros follow the text."""
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Suffixes sorted by their first `depth` bytes at least, marks of those that differ there from the one before, the
+    text's 8-byte words, marks of those that differ in their first `sure` bytes already, and `sure`. Zeros follow the
+    text."""
     n = len(text)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = text
@@ -95,8 +102,10 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.zeros(n, np.int64)
     rank[order] = group
-    h = 8
+    h = sure = 8
+    early = new
     while h < depth:
+        early, sure = new.copy(), h
         alone = new & np.append(new[1:], True)
         open_ = np.flatnonzero(~alone)
         if not len(open_):
@@ -110,11 +119,12 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         new[open_] = np.append(True, key[1:] != key[:-1])
         rank[at] = np.maximum.accumulate(np.where(new[open_], open_, 0))
         h *= 2
-    return order, new, words
+    return order, new, words, early, sure
 
 
-def common_prefixes(order: np.ndarray, new: np.ndarray, words: np.ndarray, most: int, lane: int = 256) -> np.ndarray:
-    """Kasai's common prefixes of neighbours in the order, up to `most`; each lane of places goes on its own.
+def common_prefixes(order: np.ndarray, new: np.ndarray, words: np.ndarray, most: int, early: np.ndarray, sure: int, lane: int = 256) -> np.ndarray:
+    """Kasai's common prefixes of neighbours in the order, up to `most`; each lane of places goes on its own. Where the
+    first `sure` bytes differ, 0; elsewhere these are known to be shared, whatever the place before says.
 
     Neighbours that the sorting left together share `most` at least. Nothing carries over from these to the next place,
     as their own order says nothing of it.
@@ -122,6 +132,8 @@ def common_prefixes(order: np.ndarray, new: np.ndarray, words: np.ndarray, most:
     n = len(order)
     tied = np.zeros(n + 1, bool)
     tied[order] = ~new
+    far = np.zeros(n + 1, bool)
+    far[order] = early
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     long = np.zeros(n, np.int64)
@@ -130,8 +142,8 @@ def common_prefixes(order: np.ndarray, new: np.ndarray, words: np.ndarray, most:
     pad = np.append(words, np.zeros(most + 9, np.uint64))
     for _ in range(lane):
         other = before[at]
-        have[other < 0] = 0
-        grow = np.flatnonzero((other >= 0) & ~tied[at])
+        have = np.where((other < 0) | far[at], 0, np.maximum(have, min(sure, most)))
+        grow = np.flatnonzero((other >= 0) & ~tied[at] & ~far[at])
         while len(grow):
             x = pad[at[grow] + have[grow]] ^ pad[other[grow] + have[grow]]
             same = x == 0
@@ -157,8 +169,8 @@ _EDGES = np.array([1 << (8 * k) for k in range(1, 8)], np.uint64)
 
 def repeating(text: np.ndarray, valid: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Marks of the valid places whose first `size` bytes start at another valid place too, and the class of each place."""
-    order, new, words = suffix_array(text, size)
-    group = np.cumsum(common_prefixes(order, new, words, size) < size)
+    order, new, words, early, sure = suffix_array(text, size)
+    group = np.cumsum(common_prefixes(order, new, words, size, early, sure) < size)
     fine = valid[order]
     many = np.bincount(group[fine], minlength=int(group[-1]) + 1 if len(group) else 0) > 1
     out = np.zeros(len(text), bool)
@@ -193,9 +205,9 @@ def apart(rows: DataFrame, repeats: Bloom) -> tuple[DataFrame, DataFrame]:
 
 
 def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None = None) -> DataFrame:
-    """The parts of texts that windows of repeated anchors cover: route, rid, start, body, and the anchors' h, lo, hi.
+    """The parts of texts that windows of repeated anchors cover: route, rid, start, body, and the anchors' h, lo, hi, g.
     Of rows with one rid, which are among the repeats, one is read."""
-    of_rows = twice.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "h", "c")).alias("a"))
+    of_rows = twice.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "h", "c", "g")).alias("a"))
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(twice.select("rid").distinct().select(F.xxhash64("rid").alias("h"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +220,9 @@ def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None
             for rid, text, found in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("a"), strict=True):
                 body = text.as_buffer()
                 a = found.values
-                lo, hi, h, c = (a.field(k).to_numpy() for k in range(4))
+                lo, hi, h, c, g = (a.field(k).to_numpy() for k in range(5))
                 by = np.argsort(lo, kind="stable")
-                lo, hi, h, c = lo[by], hi[by], h[by], c[by]
+                lo, hi, h, c, g = lo[by], hi[by], h[by], c[by], g[by]
                 rare = c <= RARE
                 covered = _covered(lo, hi, size)
                 whole_ = int(h[rare].min()) if rare.any() and 2 * covered >= len(body) else None
@@ -219,18 +231,18 @@ def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None
                 for x, y in zip(at, at[1:], strict=False):
                     start, end = int(lo[x]), int(hi[x:y].max()) + size
                     route = int(h[x:y].min()) if whole_ is None else whole_
-                    out.append((route, rid, start, bytes(body[start:end]), h[x:y].tolist(), c[x:y].tolist(), (lo[x:y] - start).tolist(), (hi[x:y] - start).tolist()))
+                    out.append((route, rid, start, bytes(body[start:end]), h[x:y].tolist(), c[x:y].tolist(), (lo[x:y] - start).tolist(), (hi[x:y] - start).tolist(), (g[x:y] - start).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, x, strict=True)) for x in out], schema=_SEGMENT)
 
-    texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(pick, "rid long, text string")
+    texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(tidy(pick), "rid long, text string")
     if repeats is not None:
         once, again = apart(texts, repeats)
         texts = once.union(again.groupBy("rid").agg(F.first("text").alias("text")))
-    return texts.join(of_rows, "rid").mapInArrow(cut, "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>")
+    return texts.join(of_rows, "rid").mapInArrow(tidy(cut), "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>, g array<long>")
 
 
 _LONGS = pa.list_(pa.int64())
-_SEGMENT = pa.schema([("route", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("h", _LONGS), ("c", _LONGS), ("lo", _LONGS), ("hi", _LONGS)])
+_SEGMENT = pa.schema([("route", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("body", pa.binary()), ("h", _LONGS), ("c", _LONGS), ("lo", _LONGS), ("hi", _LONGS), ("g", _LONGS)])
 
 
 def dealt(parts: DataFrame) -> DataFrame:
@@ -245,32 +257,46 @@ def dealt(parts: DataFrame) -> DataFrame:
 
 
 def in_shards(parts: DataFrame, size: int) -> DataFrame:
-    """kind 0: rid and a span of repeating windows. kind 1: rid and place of a window that another shard may have, and two
-    keys of it, 96 bits; no window is given twice by a shard."""
+    """kind 0: rid and a span (a to b) of repeating windows. kind 1: windows that another shard may have: rid, where the
+    first begins, the key that equal windows share, the shard and their bytes; no window is given twice by a shard."""
+    half = (size - GRAM) // 2
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         text, base, valid = _laid(part)
         marks, group = repeating(text, valid, size)
         rid, start = part["rid"].to_numpy(), part["start"].to_numpy()
-        owner = np.repeat(np.arange(len(part)), np.diff(base))
-        place = np.arange(len(text)) - base[owner] + start[owner]
         x, y = _runs(marks)  # a run ends in its part, as the last window of a part ends inside of it
-        spans = pd.DataFrame({"kind": 0, "a": rid[owner[x]], "b": place[x], "c": place[y - 1] + size, "d": 0})
+        owner = np.searchsorted(base, x, side="right") - 1
+        shift = start[owner] - base[owner]
+        spans = pd.DataFrame({"kind": 0, "rid": rid[owner], "a": x + shift, "b": y - 1 + size + shift, "shard": 0, "body": None})
         h, c = (np.concatenate(part[k].to_list()) for k in ("h", "c"))
-        lo = np.concatenate([np.asarray(v) + b for v, b in zip(part["lo"], base, strict=False)])
-        hi = np.concatenate([np.asarray(v) + b for v, b in zip(part["hi"], base, strict=False)])
+        lo, hi, g = (np.concatenate([np.asarray(v) + b for v, b in zip(part[k], base, strict=False)]) for k in ("lo", "hi", "g"))
         _, back, here = np.unique(h, return_inverse=True, return_counts=True)
         shared = here[back] < c
-        lo, count = lo[shared], hi[shared] - lo[shared] + 1
+        lo, hi, g = lo[shared], hi[shared], g[shared]
+        # a window holds the half before its gram, or the half after it
+        lo, hi, begin = np.append(lo, np.maximum(lo, g - half + 1)), np.append(np.minimum(hi, g - half), hi), np.append(g - half, g)
+        length = np.repeat([half + GRAM, size - half], len(g))
+        some = np.flatnonzero(lo <= hi)
+        some = some[np.argsort(lo[some])]
+        lo, hi, begin, length = lo[some], hi[some], begin[some], length[some]
+        count = hi - lo + 1
         at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        again = at[marks[at]]
-        _, one = np.unique(group[again], return_index=True)
-        at = np.append(at[~marks[at]], again[one])
-        keys = [RollingHash(text, k).of(at, size).view(np.int64) for k in range(2)]
-        far = pd.DataFrame({"kind": 1, "a": rid[owner[at]], "b": place[at], "c": keys[0], "d": (keys[1] >> 32).astype(np.int32)})
-        return pd.concat([spans, far])
-
-    return parts.groupBy("shard").applyInPandas(run, "kind int, a long, b long, c long, d int")
+        of = np.repeat(np.arange(len(lo)), count)
+        again = np.flatnonzero(marks[at])
+        _, one = np.unique(group[at[again]], return_index=True)
+        chosen = ~marks[at]
+        chosen[again[one]] = True
+        at, of = at[chosen], of[chosen]
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]))) if len(at) else np.zeros(0, np.int64)
+        s, e, of = at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + size, of[first]
+        key = run_hashes(text, begin[of], length[of]).view(np.int64)
+        owner = np.searchsorted(base, s, side="right") - 1
+        data = text.tobytes()
+        far = pd.DataFrame({"kind": 1, "rid": rid[owner], "a": s - base[owner] + start[owner], "b": key, "shard": int(part["shard"].iloc[0]), "body": [data[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]})
+        return pd.concat([x for x in (spans, far) if len(x)]) if len(spans) + len(far) else spans
+
+    return parts.groupBy("shard").applyInPandas(tidy_groups(run), "kind int, rid long, a long, b long, shard long, body binary")
 
 
 def _laid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,54 +311,114 @@ def _laid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, base, np.cumsum(step[:-1]) > 0
 
 
-def across_shards(found: DataFrame) -> DataFrame:
-    """rid and place of windows that repeat in another shard than their own."""
+class Windows:
+    """Windows sorted by their bytes, each once, with the row and place of one that has them."""
+
+    def __init__(self, body: np.ndarray, rid: np.ndarray, at: np.ndarray, hit: np.ndarray):
+        self.body, self.rid, self.at, self.hit = body, rid, at, hit
+
+    @classmethod
+    def of(cls, bodies: list[bytes], rid: np.ndarray, at: np.ndarray, size: int) -> Windows:
+        sizes = np.array([len(x) for x in bodies], np.int64)
+        base, count = np.cumsum(sizes) - sizes, sizes - size + 1
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        raw = np.frombuffer(b"".join(bodies), np.uint8)
+        found = np.lib.stride_tricks.sliding_window_view(raw, size)[np.repeat(base, count) + step].view(f"S{size}").ravel()
+        order = np.argsort(found, kind="stable")
+        return cls(found[order], np.repeat(rid, count)[order], (np.repeat(at, count) + step)[order], np.zeros(len(order), bool))
+
+    def merged(self, other: Windows, out: list[tuple[np.ndarray, np.ndarray]]) -> Windows:
+        """Both as one. Each window of other is sought here by binary search; what is found is given to out, once."""
+        place = np.searchsorted(self.body, other.body)
+        inside = np.minimum(place, len(self.body) - 1)
+        same = (place < len(self.body)) & (self.body[inside] == other.body)
+        mine = np.unique(inside[same])
+        mine = mine[~self.hit[mine]]
+        fresh = same & ~other.hit
+        out += [(self.rid[mine], self.at[mine]), (other.rid[fresh], other.at[fresh])]
+        self.hit[mine] = True
+        new = ~same
+        return Windows(*(np.insert(getattr(self, k), place[new], getattr(other, k)[new]) for k in ("body", "rid", "at", "hit")))
+
+
+def _spans(out: list[tuple[np.ndarray, np.ndarray]], size: int) -> pa.RecordBatch:
+    """Runs of windows as spans."""
+    rid, at = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((at, rid))
+    rid, at = rid[order], at[order]
+    first = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(at[first]), pa.array(at[last] + size)], names=["rid", "s", "e"])
+
+
+def across_shards(found: DataFrame, size: int) -> DataFrame:
+    """rid and spans of windows that repeat in another shard than their own."""
+
+    def meet(rows: list[pa.RecordBatch], before: Windows | None, out: list) -> Windows | None:
+        """rows: of one key, or of many whole keys. before: what earlier rows of the same key have."""
+        part = pa.Table.from_batches(rows)
+        key, rid, at, shard = (part.column(c).to_numpy() for c in ("b", "rid", "a", "shard"))
+        change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        alone = np.repeat(np.diff(np.append(change, len(key))) == 1, np.diff(np.append(change, len(key))))
+        some = np.flatnonzero(~alone) if before is None else np.arange(len(key))
+        some = some[np.argsort(shard[some], kind="stable")]
+        if not len(some):
+            return before
+        cuts = np.flatnonzero(np.diff(shard[some])) + 1
+        bodies = part.column("body").take(pa.array(some)).to_pylist()
+        runs = [Windows.of(bodies[x[0] : x[-1] + 1], rid[some[x]], at[some[x]], size) for x in np.split(np.arange(len(some)), cuts)]
+        while len(runs) > 1:
+            runs = [runs[i].merged(runs[i + 1], out) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+        return runs[0] if before is None else before.merged(runs[0], out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, rows = [], []
-        for batch in batches:  # each is sorted on its own
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            order = np.lexsort((k2, k1))
-            rows.append([batch.column(c).to_numpy()[order] for c in ("k1", "k2", "rid", "at")])
-            runs.append(np.arange(len(k1)) + sum(len(r) for r in runs))
-        if not runs:
-            return
-        k1, k2, rid, at = (np.concatenate(c) for c in zip(*rows, strict=True))
-        hit = np.zeros(len(k1), bool)
-        for r in runs:
-            same = (k1[r][1:] == k1[r][:-1]) & (k2[r][1:] == k2[r][:-1])
-            hit[r[1:][same]] = True
-        while len(runs) > 1:
-            runs = [_merged(k1, k2, *runs[i : i + 2], hit) for i in range(0, len(runs), 2)]
-        # a window that was found equal stands for all of its equals
-        last = runs[0]
-        new = np.append(True, (k1[last][1:] != k1[last][:-1]) | (k2[last][1:] != k2[last][:-1]))
-        group = np.cumsum(new) - 1
-        any_ = np.zeros(int(group[-1]) + 1, bool)
-        np.logical_or.at(any_, group, hit[last])
-        out = last[any_[group]]
-        for k in range(0, len(out), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(rid[out[k : k + (1 << 17)]]), pa.array(at[out[k : k + (1 << 17)]])], names=["rid", "at"])
-
-    windows = found.where("kind = 1").select(F.col("c").alias("k1"), F.col("d").alias("k2"), F.col("a").alias("rid"), F.col("b").alias("at"))
-    return windows.repartition("k1").mapInArrow(merge, "rid long, at long")
-
-
-def _merged(k1: np.ndarray, k2: np.ndarray, x: np.ndarray, y: np.ndarray | None = None, hit: np.ndarray | None = None) -> np.ndarray:
-    """Two sorted runs as one; each window of y is sought in x by binary search, and equals are marked."""
-    if y is None or hit is None:
-        return x
-    a, b = k1[x], k1[y]
-    at = np.searchsorted(a, b)
-    for k in range(64):  # equal first halves: step to the second half
-        step = (at < len(x)) & (a[np.minimum(at, len(x) - 1)] == b) & (k2[x[np.minimum(at, len(x) - 1)]] < k2[y])
-        if not step.any():
-            break
-        at = at + step
-    inside = np.minimum(at, len(x) - 1)
-    same = (at < len(x)) & (a[inside] == b) & (k2[x[inside]] == k2[y])
-    hit[y[same]], hit[x[inside[same]]] = True, True
-    return np.insert(x, at, y)
+        kept: list[pa.RecordBatch] = []  # rows of the last key, and of whole keys before it
+        before: Windows | None = None  # of the last key, when it has many rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            key = batch.column("b").to_numpy()
+            if before is not None:
+                same = int((key == last).sum())
+                if same:
+                    before = meet([batch.slice(0, same)], before, out)
+                    batch, key = batch.slice(same), key[same:]
+                if len(key):
+                    before = None
+            if len(key):
+                kept.append(batch)
+                last = key[-1]
+                if sum(b.num_rows for b in kept) >= MEET:
+                    tail = kept[-1].num_rows - int((key == last).sum())
+                    if tail:
+                        meet([*kept[:-1], kept[-1].slice(0, tail)], None, out)
+                        kept = [kept[-1].slice(tail)]
+                    elif (kept[0].column("b").to_numpy()[0] != last):
+                        whole = [b.filter(pa.array(b.column("b").to_numpy() != last)) for b in kept]
+                        meet([b for b in whole if b.num_rows], None, out)
+                        kept = [x for b in kept if (x := b.filter(pa.array(b.column("b").to_numpy() == last))).num_rows]
+                    if sum(b.num_rows for b in kept) >= MEET:  # one key alone
+                        before, kept = meet(kept, None, out), []
+            yield _spans(out, size)
+        if kept:
+            out = []
+            meet(kept, None, out)
+            yield _spans(out, size)
+
+    windows = found.where("kind = 1").select("b", "rid", "a", "shard", "body")
+    return windows.repartition("b").sortWithinPartitions("b").mapInArrow(tidy(merge), "rid long, s long, e long")
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """found with c, the occurrences of the anchor, where these are two or more. Very common anchors are not dealt by their hash."""
+    counts = stored(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "anchor-counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).head()[0]
+    hot = counts.where(F.col("c") > max(1000, int(HOT_SHARE * total)))
+    if hot.isEmpty():
+        return found.join(counts, "h")
+    hot = F.broadcast(hot)
+    return found.join(hot, "h").unionByName(found.join(hot.select("h"), "h", "left_anti").join(counts, "h"))
 
 
 def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
@@ -346,12 +432,11 @@ def repeated_spans(docs: DataFrame, size: int) -> DataFrame:
         again = stored(again.distinct(), "repeated-anchors")
         whole = again.join(many, "rid").groupBy("rid").agg(F.lit(0).cast("long").alias("s"), (F.max("hi") + size).alias("e"))
         found = once.union(again)
-    counts = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    twice = stored(found.join(counts, "h"), "twice")
+    twice = stored(counted(found), "twice")
     parts = dealt(stored(segments(docs, twice, size, repeats), "segments"))
     in_shard = stored(in_shards(parts, size), "shards")
-    near = in_shard.where("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("s"), F.col("c").alias("e"))
-    far = across_shards(in_shard).select("rid", F.col("at").alias("s"), (F.col("at") + size).alias("e"))
+    near = in_shard.where("kind = 0").select("rid", F.col("a").alias("s"), F.col("b").alias("e"))
+    far = across_shards(in_shard, size)
     spans = near.union(far) if repeats is None else near.union(far).union(whole)
     return spans.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
@@ -371,7 +456,7 @@ def united(spans) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     """All columns of docs, and (in place of columns of these names) spans (array of s, e) and kept (the bytes that remain)."""
     names = [c for c in docs.columns if c not in ("spans", "kept")]
-    docs = docs.select(F.struct(*(c for c in names if c != "text")).alias("row"), "text", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).alias("rid"))
+    docs = docs.select(F.struct(*(c for c in names if c != "text")).alias("row"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
     spans = stored(repeated_spans(docs.select("rid", "text"), size), "spans")
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("rid").alias("h"))))
 
