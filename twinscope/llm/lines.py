@@ -5,12 +5,13 @@ other. A line is split into most + 1 even segments; a near line of at least its
 near the same place, so each line indexes its segments by their length-aware place and probes the index with the few
 substrings that can match. Pairs that meet are verified with a banded bit-parallel edit distance.
 
-Lines in more than one place are one text with one id (a 63-bit hash). Connected texts are a class, and of each class
+Lines in more than one place are one text with one id (63 bits of a 128-bit hash; lines of one id whose other bits
+differ all stay, and are near to none). Connected texts are a class, and of each class
 only the first line, by doc_id and place, stays. Runs of an index key that are too long to pair are verified in
 blocks that give only the links that connect new lines.
 
 Lines shorter than `shortest` bytes or without a word always stay. Null texts are empty and stay null. Rows that
-repeat both doc_id and text are one document. An empty table gives no rows; other columns stay as they are.
+repeat both doc_id and text are one document, also where doc_id is null; null doc_ids come before others. An empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, mixed, packed, slices, stored, whole
+from twinscope.llm.common import Bloom, RollingHash, dropped, mixed, packed, slices, stored, tidy, tidy_groups, whole, wide_hashes
 from twinscope.llm.components import components
 
 MOST = 2
 SHORTEST = 20
 LONG_RUN = 2048
 BLOCK = 1024
+#: Pairs of a block that are verified at once.
+PAIRS = 1 << 15
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -50,10 +53,10 @@ def lines_of(raw: np.ndarray, starts: np.ndarray, shortest: int) -> tuple[np.nda
     return begin[on], end[on], row[on], number[on]
 
 
-def ids_of(hashes: RollingHash, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """63-bit ids of lines, shifted left by one."""
-    h = mixed(hashes.of(begin, end - begin) + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (h & ~np.uint64(1)).view(np.int64)
+def ids_of(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit ids of lines, shifted left by one, and other bits of their hashes."""
+    one, two = wide_hashes(raw, begin, end)
+    return (one & ~np.uint64(1)).view(np.int64), two.view(np.int64)
 
 
 _KINDS = (mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(61)).astype(np.int64)
@@ -155,19 +158,20 @@ def within(raw: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.n
 
 
 def occurrences(docs: DataFrame, shortest: int) -> DataFrame:
-    """id, line, length and signature of every line that takes part, once for each slice of a task's texts and document."""
+    """id, check, line, length and signature of every line that takes part, once for each slice of a task's texts and document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
                 begin, end, row, number = lines_of(raw, starts, shortest)
+                ids, check = ids_of(raw, begin, end)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(number, pa.int64()), pa.array(ids_of(RollingHash(raw), begin, end)), pa.array(end - begin), pa.array(signatures(raw, begin, end))],
-                    names=["doc_id", "rid", "line", "id", "length", "signature"],
+                    [part.column("doc_id").take(pa.array(row)), part.column("rid").take(pa.array(row)), pa.array(number, pa.int64()), pa.array(ids), pa.array(check), pa.array(end - begin), pa.array(signatures(raw, begin, end))],
+                    names=["doc_id", "rid", "line", "id", "check", "length", "signature"],
                 )
 
-    return docs.select("doc_id", "rid", "text").mapInArrow(run, "doc_id long, rid long, line long, id long, length long, signature long")
+    return docs.select("doc_id", "rid", "text").mapInArrow(tidy(run), "doc_id long, rid long, line long, id long, check long, length long, signature long")
 
 
 def candidates(docs: DataFrame, most: int, shortest: int) -> DataFrame:
@@ -178,9 +182,9 @@ def candidates(docs: DataFrame, most: int, shortest: int) -> DataFrame:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
                 begin, end, _, _ = lines_of(raw, starts, shortest)
-                hashes = RollingHash(raw)
-                ids, first = np.unique(ids_of(hashes, begin, end), return_index=True)
+                ids, first = np.unique(ids_of(raw, begin, end)[0], return_index=True)
                 if len(ids):
+                    hashes = RollingHash(raw)
                     key, owner = keys_of(hashes, begin[first], end[first], ids, most, shortest)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], names=["key", "owner"])
 
@@ -210,7 +214,7 @@ def candidates(docs: DataFrame, most: int, shortest: int) -> DataFrame:
         for at in range(0, len(rows), 1 << 17):
             yield pa.RecordBatch.from_pandas(rows.iloc[at : at + (1 << 17)], preserve_index=False)
 
-    return docs.select("text").mapInArrow(emit, "key long, owner long").repartition("key").mapInArrow(meet, "kind int, a long, b long")
+    return docs.select("text").mapInArrow(tidy(emit), "key long, owner long").repartition("key").mapInArrow(tidy(meet), "kind int, a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, shortest: int) -> DataFrame:
@@ -222,13 +226,13 @@ def texts_of(docs: DataFrame, ids: DataFrame, shortest: int) -> DataFrame:
             for part in slices(batch):
                 raw, starts = packed(part.column("text"))
                 begin, end, _, _ = lines_of(raw, starts, shortest)
-                found, first = np.unique(ids_of(RollingHash(raw), begin, end), return_index=True)
+                found, first = np.unique(ids_of(raw, begin, end)[0], return_index=True)
                 hit = picked.value.has(found)
                 data = raw.tobytes()
                 bodies = [data[x:y] for x, y in zip(begin[first[hit]].tolist(), end[first[hit]].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found[hit], pa.int64()), pa.array(bodies, pa.binary())], names=["id", "body"])
 
-    return docs.select("text").mapInArrow(run, "id long, body binary").groupBy("id").agg(F.first("body").alias("body"))
+    return docs.select("text").mapInArrow(tidy(run), "id long, body binary").groupBy("id").agg(F.first("body").alias("body"))
 
 
 def _laid(*columns: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -249,8 +253,8 @@ def links(found: DataFrame, firsts: DataFrame, docs: DataFrame, most: int, short
             x, y = (np.ascontiguousarray(batch.column(c).to_numpy()) for c in ("sa", "sb"))
             yield batch.select(["a", "b"]).filter(pa.array(apart(x, y) <= 2 * most))
 
-    pairs = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), "line-pairs")
-    runs = stored(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct(), "line-runs")
+    pairs = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(prune), "a long, b long"), "line-pairs")
+    runs = stored(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct().join(firsts.select("id"), "id", "left_semi"), "line-runs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(runs.select("id")).distinct()
     texts = stored(texts_of(docs, ids, shortest), "line-texts")
 
@@ -260,32 +264,49 @@ def links(found: DataFrame, firsts: DataFrame, docs: DataFrame, most: int, short
             yield batch.select(["a", "b"]).filter(pa.array(within(raw, a, n, b, m, most)))
 
     body = lambda c: texts.select(F.col("id").alias(c), F.col("body").alias(f"t{c}"))
-    near = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    near = pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "ta", "tb").mapInArrow(tidy(verify), "a long, b long")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
         ids, block, sign = part["id"].to_numpy(), part["own"].to_numpy(), np.ascontiguousarray(part["signature"].to_numpy())
         raw, ((at, size),) = _laid(part["body"].to_list())
-        left, right = np.flatnonzero(block == part["x"].iloc[0]), np.flatnonzero(block == part["y"].iloc[0])
+        x, y = part["x"].iloc[0], part["y"].iloc[0]
         label, made = np.arange(len(ids)), []
-        same = part["x"].iloc[0] == part["y"].iloc[0]
-        for i in left.tolist():
-            other = right[right > i] if same else right
-            j = other[(label[other] != label[i]) & (np.abs(size[other] - size[i]) <= most)]
-            j = j[apart(np.full(len(j), sign[i]), sign[j]) <= 2 * most]
-            if len(j):
-                for k in j[within(raw, np.full(len(j), at[i]), np.full(len(j), size[i]), at[j], size[j], most)].tolist():
-                    u, v = sorted((int(label[i]), int(label[k])))
-                    if u != v:
-                        label[label == v] = u
-                        made.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+
+        def met(i: np.ndarray, j: np.ndarray) -> None:
+            """Unites what is near among pairs of different labels."""
+            for k in range(0, len(i), PAIRS):
+                u, v = i[k : k + PAIRS], j[k : k + PAIRS]
+                on = (label[u] != label[v]) & (np.abs(size[u] - size[v]) <= most)
+                u, v = u[on], v[on]
+                on = apart(sign[u], sign[v]) <= 2 * most
+                u, v = u[on], v[on]
+                near = within(raw, at[u], size[u], at[v], size[v], most) if len(u) else np.zeros(0, bool)
+                for c, d in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                    low, high = sorted((int(label[c]), int(label[d])))
+                    if low != high:
+                        label[label == high] = low
+                        made.append((min(ids[c], ids[d]), max(ids[c], ids[d])))
+
+        order = np.lexsort((ids, sign, size))  # near lines often stand side by side here
+        across = block[order]
+        for step in (1, 2, 4, 8):
+            i, j = order[:-step], order[step:]
+            on = (x == y) | (across[:-step] != across[step:])
+            met(i[on], j[on])
+        left, right = order[across == x], order[across == y]
+        for k in range(0, len(left), 32):
+            some = left[k : k + 32]
+            i, j = np.repeat(some, len(right)), np.tile(right, len(some))
+            on = (i < j) | (x != y)
+            met(i[on], j[on])
         return pd.DataFrame(made, columns=["a", "b"])
 
     sizes = runs.groupBy("key").agg(F.count("*").alias("c"))
     put = runs.join(sizes, "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     put = put.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with"))
     put = put.join(firsts.select("id", "signature"), "id").join(texts, "id")
-    far = put.select("key", "x", "y", "id", "own", "signature", "body").groupBy("key", "x", "y").applyInPandas(cluster, "a long, b long")
+    far = put.select("key", "x", "y", "id", "own", "signature", "body").groupBy("key", "x", "y").applyInPandas(tidy_groups(cluster), "a long, b long")
     return near.union(far).distinct()
 
 
@@ -293,12 +314,19 @@ def kept_lines(docs: DataFrame, most: int, shortest: int) -> tuple[DataFrame, Da
     """rid and the numbers of its lines that take part and stay; and per rid how many take part and have near others."""
     seen = stored(occurrences(docs, shortest), "lines")
     place = F.struct("doc_id", "rid", "line")
-    firsts = stored(seen.groupBy("id").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.first("signature").alias("signature")), "firsts")
+    known = stored(seen.groupBy("id").agg(F.min(place).alias("first"), F.first("length").alias("length"), F.first("signature").alias("signature"), (F.min("check") == F.max("check")).alias("sure")), "firsts")
+    firsts = known.where("sure").drop("sure")
     found = stored(candidates(docs, most, shortest), "line-candidates")
-    labels = stored(components(stored(links(found, firsts, docs, most, shortest), "line-links"), "a", "b", "line-classes"), "line-labels").withColumnRenamed("node", "id")
+    near_lines = stored(links(found, firsts, docs, most, shortest), "line-links")
+    labels = stored(components(near_lines, "a", "b", "line-classes"), "line-labels").withColumnRenamed("node", "id")
     alone = firsts.join(labels, "id", "left_anti").select("first")
     of_class = firsts.join(labels, "id").groupBy("component").agg(F.min("first").alias("first")).select("first")
-    kept = alone.union(of_class).groupBy("first.rid").agg(F.collect_list("first.line").alias("kept"))
+    first = alone.union(of_class)
+    unsure = known.where("not sure").select("id")
+    if not unsure.isEmpty():
+        first = first.union(seen.join(unsure, "id").select(place.alias("first")).distinct())
+    kept = first.groupBy("first.rid").agg(F.collect_list("first.line").alias("kept"))
+    dropped(found)
     near = seen.join(labels, "id").groupBy("rid").agg(F.count("*").alias("n_near"))
     counts = seen.groupBy("rid").agg(F.count_distinct("line").alias("n_part")).join(near, "rid", "left")
     return kept, counts
