@@ -5,7 +5,11 @@ escape: the next word is one raw 64-bit value. Words are grouped into blocks of
 whole documents with an offset for each block, so that blocks are decoded independently and all at once.
 
 Run layout, little-endian: b"S8B1", u32 blocks, u64 ids, u64[blocks + 1] first word of each block, u64[] words.
-The files are Parquet shards, written and committed by Spark: a row per run with its doc_ids and id counts.
+The files are Parquet shards, written and committed by Spark: a row per run with its doc_ids, id counts and the number
+of ids before it in its shard.
+
+Null texts have the end id alone. Null doc_ids come first. Rows with equal doc_ids stand in the order of their texts,
+null first; equal rows are alike. An empty table gives no runs and no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import list_array, shared_dir, slices
+from twinscope.llm.common import list_array, new_path, slices, tidy
 
 # Fixed values of the format: ids in a word and their width in bits, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -26,7 +30,9 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 1024
 MAGIC = b"S8B1"
-RUN = "shard int, run int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
+RUN = "shard int, run int, before long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
+#: Shards whose sizes are broadcast to the readers, 16 bytes each; beyond, they are joined.
+MOST_SHARDS = 1_000_000
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -37,12 +43,13 @@ def encode(ids: np.ndarray) -> bytes:
     ends = np.minimum((np.arange(n, dtype=np.int64) // BLOCK + 1) * BLOCK, n)
     best = np.full(n, len(COUNTS), np.int64)  # the selector; ESCAPE where even one id doesn't fit
     best[:] = ESCAPE
-    place = np.arange(n, dtype=np.int64)
     for s in range(len(COUNTS) - 1, -1, -1):
-        wide = np.where(ids >> np.uint64(WIDTHS[s]) != 0, place, n)
-        until = np.minimum.accumulate(wide[::-1])[::-1]
-        best[(until - place >= COUNTS[s]) | (until >= ends)] = s
-    step = np.where(best == ESCAPE, 1, np.minimum(np.array([*COUNTS, 1, 1])[best], ends - place))
+        narrow = np.flatnonzero(ids < np.uint64(1 << WIDTHS[s]))
+        if len(narrow):
+            last = np.append(np.flatnonzero(np.diff(narrow) != 1), len(narrow) - 1)  # of each run of narrow ids
+            until = np.repeat(narrow[last] + 1, np.diff(np.append(-1, last)))
+            best[narrow[(until - narrow >= COUNTS[s]) | (until >= ends[narrow])]] = s
+    step = np.where(best == ESCAPE, 1, np.minimum(np.array([*COUNTS, 1, 1])[best], ends - np.arange(n)))
     at, starts = np.arange(blocks, dtype=np.int64) * BLOCK, []
     limit = np.minimum(at + BLOCK, n)
     while len(at):
@@ -121,7 +128,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
 
         from twinscope.llm.words import encoder
 
-        enc, shard, k = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
+        enc, shard, k, before = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for part in slices(batch):
                 ids, counts = enc.ids(part.column("text"))
@@ -129,13 +136,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str = "word", en
                 whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
                 one = pa.array([0, len(counts)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.ListArray.from_arrays(one, part.column("doc_id")), list_array(counts + 1, np.array([0, len(counts)]), pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([encode(whole)], pa.binary())],
-                    names=["shard", "run", "doc_ids", "counts", "n_ids", "payload"],
+                    [pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(one, part.column("doc_id")), list_array(counts + 1, np.array([0, len(counts)]), pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([encode(whole)], pa.binary())],
+                    names=["shard", "run", "before", "doc_ids", "counts", "n_ids", "payload"],
                 )
-                k += 1
+                k, before = k + 1, before + len(whole)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(run, RUN).write.option("compression", "none").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(tidy(run, keeps=True), RUN).write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -154,15 +161,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(base + ends - counts, pa.int64()), pa.array(counts, pa.int64()), blobs], names=["doc_id", "start", "n_tokens", "ids"])
 
     runs = spark.read.schema(RUN).parquet(path)
-    sizes = runs.select("shard", "run", "n_ids")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = runs.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_base"))
-    inside = sizes.select("shard", "run", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("run")) - F.col("n_ids")).alias("inside"))
-    bases = inside.join(shards, "shard").select("shard", "run", (F.col("shard_base") + F.col("inside")).alias("base"))
-    return runs.join(bases, ["shard", "run"]).select("doc_ids", "counts", "payload", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    small = len(runs.inputFiles()) <= MOST_SHARDS  # a shard is a file at least
+    placed = runs.join(F.broadcast(shards) if small else shards, "shard").withColumn("base", F.col("shard_base") + F.col("before"))
+    return placed.select("doc_ids", "counts", "payload", "base").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def ids_path(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/twinscope-ids-{uuid.uuid4().hex}"
+    return new_path(spark, "ids")

@@ -5,7 +5,7 @@ combination of other lengths that fills the rest best, found with a bitset subse
 The plan depends on how many pieces each length has, so it is made once from a histogram of at most `size` rows;
 a combination is repeated as often as its lengths last. Pieces then take their places by their rank in their length.
 
-Null and empty texts are one piece that holds the end id. Repeated doc_ids are packed as separate rows. An empty
+Null and empty texts are one piece that holds the end id. Repeated and null doc_ids are packed as separate rows. An empty
 table gives no rows. Columns other than doc_id and text are ignored.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import slices, stored
+from twinscope.llm.common import slices, stored, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,7 +55,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps=True), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, s
         return pd.DataFrame({"sequence_id": table["sequence"][at] + k // table["m"][at], "offset": table["offset"][at] + k % table["m"][at] * length.to_numpy()})
 
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece")))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")))
     sums = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = sums.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
     out = ranked.join(before, ["length", "block"]).withColumn("to", placed("length", (F.col("before") + F.col("nth") - 1).cast("long")))

@@ -7,8 +7,9 @@ are certain: they are committed and their part of the window is dropped, so memo
 A boundary that no piece of the vocabulary can cross (before a space mark after another character) is such a place
 for every text. Runs between these are searched once and kept in a bounded table.
 
-Null texts have null results in `decoded`, no ids otherwise; an empty text has no ids. Characters outside the vocabulary fall back to byte pieces. Scores are
-those of the model file. Ties go to the longest last piece.
+Null and empty texts have no ids, which decode to an empty text. Characters outside the vocabulary fall back to byte
+pieces. Scores are those of the model file. Ties go to the longest last piece. Repeated rows and doc_ids, null ones
+too, give a row each. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import packed, slices
+from twinscope.llm.common import _KEPT, packed, slices, tidy
 from twinscope.llm.words import PieceTable
 
 MARK = "▁"
@@ -78,15 +79,16 @@ def stream(vocabulary: Vocabulary, chars: Iterator[str]) -> Iterator[list[int]]:
         back += [(-1, 0)] * (n + 1 - len(back))
         until = n if ended else n - longest
         for s in range(done, until):
-            here, single = best[s], False
+            here = best[s]
+            single = known.get(text[s])
             for e in range(s + 1, min(n, s + longest) + 1):
                 found = known.get(text[s:e], 0)
-                if found == 0:
-                    break
                 if found:
-                    single |= e == s + 1
-                    if here + found[0] > best[e]:
-                        best[e], back[e] = here + found[0], (s, found[1])
+                    score = here + found[0]
+                    if score > best[e]:
+                        best[e], back[e] = score, (s, found[1])
+                elif found == 0:
+                    break
             if not single and here + vocabulary.unknown > best[s + 1]:
                 best[s + 1], back[s + 1] = here + vocabulary.unknown, (s, -1)
         done = until
@@ -119,7 +121,11 @@ def search(vocabulary: Vocabulary, text: str) -> list[int]:
 class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.table = PieceTable(lambda new: [np.array(self.encode_run(x), np.uint32) for x in new])
+        self.table = PieceTable(self.learn)
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self.encode_run(x) for x in new]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64), np.arange(len(new))
 
     def encode_run(self, run: str) -> list[int]:
         step = 1 << 14
@@ -148,6 +154,7 @@ class Encoder:
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
+    _KEPT.append(encoder.cache_clear)
     return Encoder(path)
 
 
@@ -163,7 +170,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 blobs = [data[a:b] for a, b in zip((ends - 4 * counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_ids", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps=True), "doc_id long, n_ids long, ids binary")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -175,7 +182,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             texts = [None if x is None else enc.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, keeps=True), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -193,4 +200,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                     rows.append((zlib.crc32(own.astype("<u4").tobytes()), enc.decode(own) == (text or "").replace(MARK, " ")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "same_text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, same_text boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps=True), "doc_id long, n_ids long, ids_crc32 long, same_text boolean")

@@ -1,8 +1,8 @@
 """Token ids of many texts, with each distinct piece encoded once.
 
 A tokeniser never joins characters across certain places of a text, so the ids of a text are those of the pieces
-between such places, one after the other. Pieces recur: a bounded table, addressed by their hashes and searched for
-all pieces of a batch at once, saves most of the work.
+between such places, one after the other. Pieces recur: a bounded table, searched for all pieces of a batch at once,
+saves most of the work. Its keys are the pieces' own bytes, so no two pieces are taken for each other.
 """
 
 from __future__ import annotations
@@ -13,83 +13,90 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from twinscope.llm.common import RollingHash, packed
+from twinscope.llm.common import _KEPT, heads, packed
 
 SLOTS = 1 << 20
 ARENA = 6_000_000
+#: Bytes of pieces above 16 bytes that are kept with their ids.
+LONG_BYTES = 8_000_000
 
 
 class PieceTable:
-    """A direct-mapped table from the 128-bit hash of a piece to its ids; a slot holds the last piece that took it.
+    """A direct-mapped table from a piece of at most 16 bytes to its ids; a slot holds the last piece that took it.
+    Longer pieces are in a dict, which is emptied when it holds LONG_BYTES.
 
-    learn: gives the ids of each of a list of strings.
+    learn: gives the ids of a list of strings, in any order of the strings: all ids, how many each string has, and
+    which string that is.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], slots: int = SLOTS, arena: int = ARENA):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], slots: int = SLOTS, arena: int = ARENA):
         self.learn, self.mask, self.most = learn, np.uint64(slots - 1), arena
         self.slots = slots
         self.clear()
 
     def clear(self) -> None:
         self.one, self.two = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.uint64)
+        self.size = np.zeros(self.slots, np.uint8)  # 0 marks a free slot
         self.place, self.count = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.long_bytes = 0
 
-    def _keep(self, ids: np.ndarray) -> int:
+    def _keep(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Learns strings: where the ids of each are now, and how many they are."""
+        ids, counts, which = self.learn(new)
         if len(ids) and ids.max() >= 1 << (8 * self.ids.itemsize):
             self.ids = self.ids.astype(np.uint32)
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
         self.ids[self.used : self.used + len(ids)] = ids
+        first, many = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        first[which], many[which] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(ids)
-        return self.used - len(ids)
+        return first, many
+
+    def _long(self, data: bytes, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+        pieces = [data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        new = [x for x in dict.fromkeys(pieces) if x not in self.long]
+        first, counts = self._keep([x.decode("utf-8", "replace") for x in new])
+        self.long.update(zip(new, zip(first.tolist(), counts.tolist(), strict=True), strict=True))
+        self.long_bytes += sum(map(len, new))
+        return [self.long[x] for x in pieces]
 
     def find(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces raw[start:end], one piece after the other, and how many each has."""
-        if self.used > self.most:
+        if self.used > self.most or self.long_bytes > LONG_BYTES:
             self.clear()
         size = end - start
-        one, two = RollingHash(raw).of(start, size), RollingHash(raw, 1).of(start, size) ^ size.astype(np.uint64)
-        one |= np.uint64(1)  # 0 marks a free slot
-        slot = (one & ~np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & self.mask
-        hit = (self.one[slot] == one) & (self.two[slot] == two)
+        one, two = heads(raw, start, size)
+        slot = (one * np.uint64(0x9E3779B97F4A7C15) ^ (two + size.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40) & self.mask
+        hit = (self.one[slot] == one) & (self.two[slot] == two) & (self.size[slot] == size)
         place, count = self.place[slot].astype(np.int64), self.count[slot].astype(np.int64)
         if not hit.all():
-            miss = np.flatnonzero(~hit)
-            order = miss[np.lexsort((two[miss], one[miss]))]
+            data = raw.tobytes()
+            long = np.flatnonzero(size > 16)
+            if len(long):
+                found = np.array(self._long(data, start[long], end[long]), np.int64)
+                place[long], count[long] = found[:, 0], found[:, 1]
+            miss = np.flatnonzero(~hit & (size <= 16))
+            order = miss[np.lexsort((size[miss], two[miss], one[miss]))]
             new = np.ones(len(order), bool)
-            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+            new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
             chosen = order[new]
-            data = raw.tobytes()
-            learnt = self.learn([data[a:b].decode("utf-8", "replace") for a, b in zip(start[chosen].tolist(), end[chosen].tolist(), strict=True)])
-            counts = np.fromiter(map(len, learnt), np.int64, len(learnt))
-            first = self._keep(np.concatenate(learnt) if learnt else np.zeros(0, np.uint32))
-            places = first + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+            places, counts = self._keep([data[a:b].decode("utf-8", "replace") for a, b in zip(start[chosen].tolist(), end[chosen].tolist(), strict=True)])
             which = np.cumsum(new) - 1
             place[order], count[order] = places[which], counts[which]
             s = slot[chosen]
-            self.one[s], self.two[s], self.place[s], self.count[s] = one[chosen], two[chosen], places, counts
-            # two new pieces may share a slot: the last one written owns all four fields, as numpy writes in order
+            self.one[s], self.two[s], self.size[s], self.place[s], self.count[s] = one[chosen], two[chosen], size[chosen], places, counts
+            # two new pieces may share a slot: the last one written owns all five fields, as numpy writes in order
         total = int(count.sum())
         ends = np.cumsum(count)
         at = np.repeat(place - (ends - count), count) + np.arange(total)
         return self.ids[at].astype(np.uint32), count
 
 
-def _joined(library, groups: list[list[str]], glue: str, edge: np.ndarray, begins: bool) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Encodes each group as one text and cuts the ids at word edges; what can't be cut so is returned as rest."""
-    found, rest = {}, []
-    for group, e in zip(groups, library.encode_batch_fast([glue.join(x) for x in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, np.uint32)
-        edges = np.flatnonzero(edge[ids])
-        if len(edges) != len(group):
-            rest += group
-            continue
-        found.update(zip(group, np.split(ids, edges[1:] if begins else edges[:-1] + 1), strict=True))
-    return found, rest
-
-
 def _is_in(raw: np.ndarray, *ranges: tuple[int, int]) -> np.ndarray:
     table = np.zeros(256, bool)
     for a, b in ranges:
@@ -101,7 +108,8 @@ class WordEncoder:
     """`ids(texts)`: the ids that the `tokenizers` library gives, one text after the other, and each text's count.
 
     kind "byte": byte-level BPE where a word's space belongs to it. kind "word": lower-casing BPE with word ends.
-    A null text has no ids. Strings of special tokens in a text are ordinary text.
+    A null text has no ids. Strings of special tokens in a text are what the library makes of them; texts that hold one
+    are encoded by the library whole.
     """
 
     def __init__(self, path: str, kind: str):
@@ -109,19 +117,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.kind, self.table = Tokenizer.from_file(path), kind, PieceTable(self.learn)
-        self.library.encode_special_tokens = True
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if kind == "byte" else t.endswith("</w>"))]] = True
 
-    def learn(self, new: list[str]) -> list[np.ndarray]:
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Plain words are encoded many at a time, as one text, and its ids cut at word edges where these are as many."""
         spaced = self.kind == "byte"
-        plain = [w for w in new if (w[0] == " " and w[1:].isalpha() if spaced else w.isalpha())]
-        found, rest = _joined(self.library, [plain[k : k + 200] for k in range(0, len(plain), 200)], "" if spaced else " ", self.edge, spaced)
-        rest += sorted(set(new).difference(plain))
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            found[w] = np.array(e.ids, np.uint32)
-        return [found[w] for w in new]
+        glue = "" if spaced else " "
+        plain, rest = [], []
+        for i, w in enumerate(new):
+            (plain if (w[0] == " " and w[1:].isalpha() if spaced else w.isalpha()) else rest).append(i)
+        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        ids, counts, which = [], [], []
+        for group, e in zip(groups, self.library.encode_batch_fast([glue.join(new[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, np.uint32)
+            edges = np.flatnonzero(self.edge[found])
+            if len(edges) != len(group):
+                rest += group
+                continue
+            ids.append(found)
+            counts.append(np.diff(np.append(edges, len(found)) if spaced else np.append(-1, edges)))
+            which += group
+        for i, e in zip(rest, self.library.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+            which.append(i)
+        if not which:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64), np.array(which)
 
     def cuts(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of pieces."""
@@ -152,6 +177,19 @@ class WordEncoder:
         return at[:-1], at[1:]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.zeros(len(texts), bool)
+        for x in self.special:  # a lower-cased piece could be one too
+            marked |= pc.fill_null(pc.match_substring(texts, x, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._pieces(texts)
+        ids, count = self._pieces(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+        parts = np.split(ids, np.cumsum(count)[:-1])
+        for i in np.flatnonzero(marked).tolist():
+            parts[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            count[i] = len(parts[i])
+        return np.concatenate(parts), count
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, starts = packed(texts)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
@@ -167,4 +205,5 @@ class WordEncoder:
 
 @lru_cache(2)
 def encoder(path: str, kind: str) -> WordEncoder:
+    _KEPT.append(encoder.cache_clear)
     return WordEncoder(path, kind)
