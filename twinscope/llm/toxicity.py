@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import slices
+from twinscope.llm.common import slices, tidy
 
 #: Insults of general English that every lexicon holds.
 INSULTS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 s = shared.value.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -263,4 +263,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             for part in slices(batch):
                 yield part.filter(pa.array(shared.value.scores(part.column("text").to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
