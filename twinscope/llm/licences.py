@@ -1,15 +1,18 @@
 """Licence scans.
 
-Each line of a file is compared with licence templates by the cosine of sparse TF-IDF vectors, and so is the whole
-text. A line at `header` or more is a licence header. A file whose name says so and that has a header, or whose whole text is at
-`whole` or more, is a licence file: its licence holds for its directory. A file without a header of its own takes
-the licence of the nearest directory above it that has one, found by joining directories on their paths.
-
-Document frequencies of all terms are counted over all files, by the terms' 64-bit hashes. Only lines
-with one of a template's `ANCHORS` are compared.
-
-Null texts are empty, null paths have no directory. Rows with the same path are one file each and get their own rows. Of equally near
-templates the first by name counts. An empty table gives no rows; other columns are ignored.
+The lines of a file, its paragraphs of several lines, and its whole text are compared with licence templates (short
+notices and whole licence texts) by the cosine of sparse TF-IDF vectors. A line or paragraph at `header` or more is a
+licence header. A file whose name says so and that has a header, or whose whole text is at `whole` or more, is a
+licence file: its licence holds for its directory. A file without a header of its own takes the licence of the nearest
+directory above it that has one, found by joining directories on their paths.
+
+Document frequencies of all terms are counted over all files, by the terms' 64-bit hashes. Units without any of a
+template's weightiest terms are left out where the rest of its vector is too short to reach the limit (the cosine is
+at most the length of the part of the template's vector that the two share), so this loses nothing.
+
+Null texts are empty, null paths have no directory. Each row is a file of its own and gets its own row, also where
+file_ids repeat or are null; rows with the same path are files of one directory. Of equally near templates the first by
+name counts. An empty table gives no rows; columns besides file_id, path and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,21 +23,73 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import stored
+from twinscope.llm.common import row_key, stored
 
-#: Wordings by licence; each is compared on its own.
+#: Wordings by licence; each is compared on its own. The licences' public notices and texts.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD 3-Clause License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "you may not use this file except in compliance with the License",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+    ),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        """MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
+        NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+        Public License for more details. You should have received a copy of the GNU General Public License along with
+        this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Licensed under the BSD 3-Clause License.",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+        LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+        OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.",),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    ),
     "Proprietary": ("All rights reserved.",),
 }
-ANCHORS = ("license", "licensed", "permission", "redistribution", "redistribute", "copyright", "reserved", "cc", "commons")
 NAMES = "(?i)^(licen[cs]e|copying|notice|legal)([.-].*)?$"
 _SPLIT = "[^a-z0-9]+"
 
@@ -85,20 +140,40 @@ def cosines(units: DataFrame, idf: dict[str, float], of_all: DataFrame, keys: li
     return best.select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))
 
 
+def gate(idf: dict[str, float], limit: float) -> str:
+    """A pattern of terms, one of which is in every unit whose cosine with some template is `limit` or more."""
+    needed: set[str] = set()
+    for _, _, counts in _template_terms():
+        square = {t: (c * idf[t]) ** 2 for t, c in counts.items()}
+        rest = sum(square.values())
+        least = (limit - 1e-4) ** 2 * rest  # cosines are rounded
+        for t in sorted(square, key=lambda t: (-square[t], t)):
+            if rest < least:
+                break
+            needed.add(t)
+            rest -= square[t]
+    return f"(?<![a-z0-9])({'|'.join(sorted(needed))})(?![a-z0-9])"
+
+
 def scan(files: DataFrame, header: float = 0.6, whole: float = 0.5) -> DataFrame:
     """file_id, path, licence, cosine and origin (header, directory, none) of every file. files: file_id, path, text."""
     files = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    first, all_ = row_key("file_id", "path", "text")  # equal rows have equal vectors but for their length
+    files = files.withColumn("_k", first).withColumn("_r", all_)
+    key = ["_k", "_r"]
     idf, of_all = weights(files)
-    anchored = F.filter(F.split("text", "\n"), lambda x: x.rlike(rf"(?i)(?<![a-z0-9])({'|'.join(ANCHORS)})(?![a-z0-9])"))
-    marked = files.select("file_id", "text", anchored.alias("lines")).where(F.size("lines") > 0)
-    lines = marked.select("file_id", F.posexplode("lines").alias("line", "text"))
-    of_lines = cosines(lines, idf, of_all, ["file_id", "line"]).where(F.col("cosine") >= header)
-    own = of_lines.groupBy("file_id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
-    own = own.select("file_id", F.col("best.licence").alias("own"), (-F.col("best.c")).alias("own_cosine"))
-    of_texts = cosines(marked.select("file_id", "text"), idf, of_all, ["file_id"]).where(F.col("cosine") >= whole)
-    of_texts = of_texts.select("file_id", F.col("licence").alias("whole"), F.col("cosine").alias("whole_cosine"))
-    paths = files.select("file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
-    known = paths.join(own, "file_id", "left").join(of_texts, "file_id", "left")
+    may = lambda x, limit: F.lower(x).rlike(gate(idf, limit))
+    paragraphs = F.filter(F.split("text", r"\n[\x20\x09\x0B-\x0D]*\n"), lambda x: x.contains("\n"))
+    units = F.filter(F.concat(F.split("text", "\n"), paragraphs), lambda x: may(x, header))
+    marked = files.select(*key, "text", F.when(may(F.col("text"), header), units).otherwise(F.array().cast("array<string>")).alias("units"))
+    lines = marked.where(F.size("units") > 0).select(*key, F.posexplode("units").alias("line", "text"))
+    of_lines = cosines(lines, idf, of_all, [*key, "line"]).where(F.col("cosine") >= header)
+    own = of_lines.groupBy(*key).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
+    own = own.select(*key, F.col("best.licence").alias("own"), (-F.col("best.c")).alias("own_cosine"))
+    of_texts = cosines(files.where(may(F.col("text"), whole)).select(*key, "text"), idf, of_all, key).where(F.col("cosine") >= whole)
+    of_texts = of_texts.select(*key, F.col("licence").alias("whole"), F.col("cosine").alias("whole_cosine"))
+    paths = files.select(*key, "file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    known = paths.join(own, key, "left").join(of_texts, key, "left")
     named = F.col("name").rlike(NAMES) & F.col("own").isNotNull()
     holders = known.where(F.col("whole").isNotNull() | named).select("dir", F.coalesce("whole", "own").alias("licence"), F.coalesce("whole_cosine", "own_cosine").alias("cosine"))
     of_dirs = holders.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best")).select("dir", F.col("best.licence").alias("dir_licence"), (-F.col("best.c")).alias("dir_cosine"))
@@ -119,3 +194,35 @@ def nearest(dirs: DataFrame, of_dirs: DataFrame) -> DataFrame:
     found = rows.join(of_dirs.withColumnRenamed("dir", "up"), "up")
     best = found.groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_licence", "dir_cosine")).alias("b"))
     return best.select("dir", F.col("b.up").alias("from_dir"), F.col("b.dir_licence").alias("dir_licence"), F.col("b.dir_cosine").alias("dir_cosine"))
+
+
+def oracle(files: str, header: float = 0.6, whole: float = 0.5) -> str:
+    """The scan as DuckDB SQL, without the gate. files: a query that gives file_id, path and text."""
+    values = ", ".join(f"('{name}', {k}, '{t}', {c})" for name, k, counts in _template_terms() for t, c in counts.items())
+    return rf"""
+WITH f AS MATERIALIZED (SELECT row_number() OVER () AS rid, file_id, path, coalesce(text, '') AS text FROM ({files})),
+template(licence, k, t, c) AS (VALUES {values}),
+term AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM f),
+df AS (SELECT t, count(*) AS n FROM term GROUP BY t),
+total AS (SELECT count(*) AS n FROM f),
+weighed AS (SELECT licence, k, t, c * (ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1) AS w FROM template LEFT JOIN df USING (t), total),
+share AS (SELECT licence, k, t, w / sqrt(sum(w * w) OVER (PARTITION BY licence, k)) AS s FROM weighed),
+unit AS (SELECT rid, row_number() OVER () AS u, kind, x FROM (
+ SELECT rid, 0 AS kind, unnest(string_split(text, chr(10))) AS x FROM f
+ UNION ALL SELECT rid, 0, x FROM (SELECT rid, unnest(regexp_split_to_array(text, '\n[\x20\x09\x0B-\x0D]*\n')) AS x FROM f) WHERE contains(x, chr(10))
+ UNION ALL SELECT rid, 1, text FROM f)),
+tf AS (SELECT u, t, count(*) AS c FROM (SELECT u, unnest(regexp_extract_all(lower(x), '[a-z0-9]+')) AS t FROM unit) GROUP BY u, t),
+v AS (SELECT u, t, c * (ln((1 + total.n) / (1 + df.n)) + 1) AS w FROM tf JOIN df USING (t), total),
+norm AS (SELECT u, sqrt(sum(w * w)) AS norm FROM v GROUP BY u),
+cosine AS (SELECT u, licence, round(sum(w * s) / any_value(norm), 6) AS cosine FROM v JOIN share USING (t) JOIN norm USING (u) GROUP BY u, licence, k),
+best AS (SELECT rid, kind, min((-cosine, licence)) AS b FROM cosine JOIN unit USING (u) WHERE cosine >= CASE kind WHEN 0 THEN {header} ELSE {whole} END GROUP BY rid, kind),
+known AS (SELECT f.rid, file_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name, o.b AS own, w.b AS whole
+ FROM f LEFT JOIN best o ON o.rid = f.rid AND o.kind = 0 LEFT JOIN best w ON w.rid = f.rid AND w.kind = 1),
+dirs AS (SELECT dir, min(coalesce(whole, own)) AS d FROM known WHERE whole IS NOT NULL OR (own IS NOT NULL AND regexp_matches(name, '{NAMES}')) GROUP BY dir),
+up AS (SELECT dir, i AS depth, array_to_string(parts[1:i], '/') AS up FROM (SELECT dir, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT dir, string_split(dir, '/') AS parts FROM known WHERE dir IS NOT NULL))),
+inherited AS (SELECT up.dir, max((depth, up.up, d)) AS h FROM up JOIN dirs ON dirs.dir = up.up GROUP BY up.dir)
+SELECT file_id, path, coalesce(own[2], whole[2], h[3][2]) AS licence, -coalesce(own[1], whole[1], h[3][1]) AS cosine,
+ CASE WHEN own IS NOT NULL OR whole IS NOT NULL THEN 'header' WHEN h IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+ CASE WHEN own IS NULL AND whole IS NULL THEN h[2] END AS from_dir
+FROM known LEFT JOIN inherited USING (dir)
+"""

@@ -18,9 +18,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree of sources, languages and runs of a thousand ids."""
+    """Documents as files of a tree of sources, languages and runs of a thousand ids. Short ones stand for notice files."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(F.octet_length("text") < 400, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), name)
     return licences.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
@@ -68,4 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_line_quality, op3_nearest_neighbours, op4_line_dedup, op5_toxicity, op6_best_fit_packing, op7_jaccard_join, op8_token_id_output, op9_suffix_dedup, op10_sentencepiece)
 }
-ORACLES: dict[str, str] = {"op2_line_quality": quality.ORACLE}
+#: The files of op1.
+FILES = """SELECT doc_id AS file_id, text, concat_ws('/', source, lang, floor(doc_id / 1000)::BIGINT::VARCHAR,
+ CASE WHEN strlen(text) < 400 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path FROM documents"""
+ORACLES: dict[str, str] = {"op1_license_scan": licences.oracle(FILES).replace("SELECT file_id, path, coalesce", "SELECT file_id AS doc_id, path, coalesce"), "op2_line_quality": quality.ORACLE}
