@@ -1,26 +1,30 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
-Coarse centroids and codebooks are fitted on at most `sample` vectors, taken by hash; every vector is indexed. A
-query scores the vectors of its `probe` share of nearest lists from asymmetric distance tables, keeps the `rerank`
-best of each block, and ranks these by the exact inner product of the original vectors in double precision.
-
-Lists are dealt into blocks of bounded size, so a list that holds a third of all rows is many blocks; queries come in
-blocks too. A task holds one block of each.
+Coarse centroids and codebooks are fitted on at most `sample` vectors, taken by hash; every vector is indexed. The
+index is written by lists, and lists are put together to blocks of bounded size; a list that holds a third of all rows
+is many blocks. A query goes to the blocks that hold one of its `probe` share of nearest lists, and is scored there by
+its asymmetric distance tables against the codes of those lists only. Of all blocks' best, its `rerank` best are
+ranked by the exact inner product of the original vectors in double precision, so as many are ranked at every size of
+the table.
 
 Vectors that are null, zero, of another than the most common length, or that hold null or non-finite components take
 no part. Ties go to the smaller vec_id. Rows that share a vec_id are candidates each, but never of a query with that
-vec_id. Fewer than k candidates give fewer rows. An empty table gives no rows.
+vec_id; such rows ask once, by the first of their vectors. A query probes more lists until these hold
+`least` rows, so a small table is scored whole, and only one with fewer than k candidates gives fewer rows. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS = 8
-FOUND = "query_id long, vec_id long, score double"
+from twinscope.llm.common import stored
+
+FOUND = "query_id long, vec_id long, uid long, near float"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -71,53 +75,56 @@ class Quantiser:
         rest = self.split(x - self.coarse[home])
         return home, np.stack([nearest(rest[:, p], self.books[p]) for p in range(self.parts)], 1).astype(np.uint8)
 
-    def search(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, q_ids: np.ndarray, k: int, probe: float, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each query its k best rows among x by exact score, found through the tables. Rows are in order of ids."""
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """For each query and subspace the inner products with the 256 codes."""
+        return np.einsum("qpw,pcw->qpc", self.split(q), self.books, dtype=np.float32)
+
+    def probed(self, q: np.ndarray, sizes: np.ndarray, probe: float, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of the lists that each query probes (the nearest ones, until they hold `rows` rows at least), and the
+        inner products with their centroids."""
         near = q.astype(np.float32) @ self.coarse.T.astype(np.float32)
-        probes = max(1, round(probe * len(self.coarse)))
-        least = -np.partition(-near, probes - 1, axis=1)[:, probes - 1 : probes]
-        tables = np.einsum("qpw,pcw->pqc", self.split(q), self.books)
-        score = np.where(near >= least, near, -np.inf)[:, home]
-        for p in range(self.parts):
-            score += tables[p][:, codes[:, p]]
-        score[q_ids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > rerank:
-            bound = np.partition(score, len(ids) - rerank, axis=1)[:, len(ids) - rerank]
-        else:
-            bound = np.full(len(q), -np.inf)
-        chosen = (score >= bound[:, None]) & (score > -np.inf)
-        many = chosen.sum(1)
-        for i in np.flatnonzero(many > rerank):  # ties at the bound: the smaller ids
-            ties = np.flatnonzero(chosen[i] & (score[i] == bound[i]))
-            chosen[i, ties[len(ties) - (many[i] - rerank) :]] = False
-        out_q, out_x = np.nonzero(chosen)
-        exact = (q[out_q] * x[out_x]).sum(1)
-        order = np.lexsort((ids[out_x], -exact, out_q))
-        out_q, out_x, exact = out_q[order], out_x[order], exact[order]
-        place = np.arange(len(out_q)) - np.searchsorted(out_q, out_q)
-        kept = place < k
-        return q_ids[out_q[kept]], ids[out_x[kept]], exact[kept]
-
-
-def fit(rows: DataFrame, lists: int = 256, width: int = 2, sample: int = 10_000) -> Quantiser | None:
+        order = np.argsort(-near, 1, kind="stable")
+        held = np.cumsum(sizes[order], 1)
+        enough = (held < rows).sum(1) + 1
+        marks = np.zeros(near.shape, bool)
+        np.put_along_axis(marks, order, np.arange(len(sizes)) < np.maximum(enough, max(1, round(probe * len(sizes))))[:, None], 1)
+        return marks, near
+
+
+def fit(rows: DataFrame, lists: int = 1024, width: int = 2, sample: int = 10_000) -> Quantiser | None:
+    """A list for ten sampled vectors, `lists` at most."""
     found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id", kind="stable")
-    return Quantiser(np.array(found["v"].tolist(), np.float32), lists, width) if len(found) else None
+    return Quantiser(np.array(found["v"].tolist(), np.float32), min(lists, max(1, len(found) // 10)), width) if len(found) else None
 
 
 def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """vec_id, v, list and codes of every row."""
+    """vec_id, uid (a number of its own), v, list and codes of every row, written to the shared folder."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 home, codes = shared.value.encode(np.array(batch["v"].tolist(), np.float32))
                 yield batch.assign(list=home.astype(np.int32), codes=[c.tobytes() for c in codes])
 
-    return rows.mapInPandas(run, "vec_id long, v array<double>, list int, codes binary")
+    return stored(rows.mapInPandas(run, "vec_id long, v array<double>, list int, codes binary").withColumn("uid", F.monotonically_increasing_id()), "vectors")
+
 
+def blocks_of(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first block and how many it has: runs of small lists share one, a large list has its own."""
+    first, many = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        first[k], many[k] = block, max(1, -(-n // block_rows))
+        held += n
+        if many[k] > 1:
+            block, held = block + int(many[k]), 0
+    return first, many
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.6, rerank: int = 100, block_rows: int = 8192) -> DataFrame:
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.45, rerank: int = 100, least: int = 2000, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -125,29 +132,75 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.6,
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(quantiser)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    indexed = index(rows, quantiser).withColumn("grp", F.col("list") % GROUPS)
-    sizes = {r["grp"]: r["n"] for r in indexed.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # at most GROUPS rows
-    blocks = {g: -(-n // block_rows) for g, n in sizes.items()}
+    found = index(rows, quantiser)
+    sizes = np.zeros(len(quantiser.coarse), np.int64)
+    for r in found.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
+        sizes[r["list"]] = r["n"]
+    first, many = blocks_of(sizes, block_rows)
+    place = spark.createDataFrame([(i, int(f), int(m)) for i, (f, m) in enumerate(zip(first, many, strict=True))], "list int, first long, many long")
+    queries = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("uid", "v")).alias("x")).select("vec_id", "x.v")
     query_blocks = max(1, -(-queries.count() // block_rows))
-    of_group = F.create_map(*(F.lit(x) for g, b in sorted(blocks.items()) for x in (g, b)))
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_group[F.col("grp")]).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    every_place = F.explode(F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(b).alias("block")) for g in sorted(blocks) for b in range(blocks[g]))))
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).select("vec_id", "v", "qb", every_place.alias("at")).select("vec_id", "v", "qb", "at.grp", "at.block")
+    asking = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    dealt = found.join(F.broadcast(place), "list").select("vec_id", "uid", "list", "codes", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("many"))).alias("block"), asking.alias("qb"))
 
-    def run(found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts = np.zeros(int((first + many).max()) + 1, np.int64)
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                part = batch.iloc[a : a + 512]
+                marks, _ = shared.value.probed(np.array(part["v"].tolist()), sizes, probe, max(least, 2 * (k + 1)))
+                at = np.zeros((len(part), len(starts)), bool)
+                for i in range(len(sizes)):
+                    at[:, first[i] : first[i] + many[i]] |= marks[:, i : i + 1]
+                q, block = np.nonzero(at)
+                yield part.iloc[q].assign(block=block)[["vec_id", "v", "qb", "block"]]
+
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).mapInPandas(route, "vec_id long, v array<double>, qb int, block long")
+
+    def run(have: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(found) and len(wanted):
-            found = found.sort_values("vec_id", kind="stable")
-            x, ids = np.array(found["v"].tolist()), found["vec_id"].to_numpy()
-            home, codes = found["list"].to_numpy(), np.frombuffer(b"".join(found["codes"]), np.uint8).reshape(len(ids), -1)
-            for k0 in range(0, len(wanted), 256):
-                part = wanted.iloc[k0 : k0 + 256]
-                out.append(shared.value.search(np.array(part["v"].tolist()), home, codes, x, ids, part["vec_id"].to_numpy(), k, probe, rerank))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
-
-    key = ["grp", "block", "qb"]
+        if len(have) and len(wanted):
+            have = have.sort_values(["list", "vec_id", "uid"], kind="stable")
+            ids, uids, home = (have[c].to_numpy() for c in ("vec_id", "uid", "list"))
+            codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(ids), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
+            for a in range(0, len(wanted), 256):
+                part = wanted.iloc[a : a + 256]
+                q, q_ids = np.array(part["v"].tolist()), part["vec_id"].to_numpy()
+                tables = shared.value.tables(q)
+                marks, near = shared.value.probed(q, sizes, probe, max(least, 2 * (k + 1)))
+                got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    mine = np.flatnonzero(marks[:, home[x]])
+                    if not len(mine):
+                        continue
+                    score = np.repeat(near[mine, home[x], None], y - x, 1)
+                    for p in range(codes.shape[1]):
+                        score += tables[mine, p][:, codes[x:y, p]]
+                    score[q_ids[mine, None] == ids[None, x:y]] = -np.inf
+                    if y - x > rerank:
+                        top = np.argpartition(-score, rerank, 1)[:, :rerank]
+                        rows_, cols = np.repeat(mine, rerank), top.ravel()
+                        value = np.take_along_axis(score, top, 1).ravel()
+                    else:
+                        rows_, cols, value = np.repeat(mine, y - x), np.tile(np.arange(y - x), len(mine)), score.ravel()
+                    on = value > -np.inf
+                    got.append((rows_[on], x + cols[on], value[on]))
+                if got:
+                    row, col, value = (np.concatenate(c) for c in zip(*got, strict=True))
+                    order = np.lexsort((uids[col], ids[col], -value, row))
+                    row, col, value = row[order], col[order], value[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < rerank
+                    out.append((q_ids[row[kept]], ids[col[kept]], uids[col[kept]], value[kept]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "uid", "near"), cols, strict=True)))
+
+    key = ["block", "qb"]
     best = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "uid")
+    best = best.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= rerank).select("query_id", "uid")
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0).cast("double"), lambda a, x: a + x)
+    exact = best.join(found.select("uid", "vec_id", "v"), "uid").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "uid")
+    exact = exact.select("query_id", "vec_id", "uid", product.alias("score"))
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
