@@ -31,10 +31,10 @@ _KEPT: list[Callable[[], None]] = []
 
 
 def tidy(run: Callable, keeps: bool = False) -> Callable:
-    """run, for mapInArrow; the worker's freed memory goes back to the system when it ends.
+    """run, for mapInArrow; what the task kept is let go when it ends, and freed memory goes back to the system.
 
-    Workers are used again for later stages, so what one stage leaves adds to the next one's peak. keeps: it uses what
-    other tasks of its kind have kept.
+    Workers are used again for later stages, in turn, so what one stage leaves in each adds to the next one's peak.
+    keeps: the task leaves what it kept to others of its kind, and uses what these have left.
     """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +43,8 @@ def tidy(run: Callable, keeps: bool = False) -> Callable:
         try:
             yield from run(batches)
         finally:
+            if not keeps:
+                let_go()
             trim()
 
     return tidied
@@ -54,6 +56,7 @@ def tidy_groups(run: Callable) -> Callable:
     def tidied(part: pd.DataFrame) -> pd.DataFrame:
         let_go()
         out = run(part)
+        let_go()
         if len(part) > 1000:
             trim()
         return out

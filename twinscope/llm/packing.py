@@ -25,8 +25,9 @@ from twinscope.llm.common import slices, stored, tidy
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_into_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, size: int = 1024) -> DataFrame:
-    """A row per piece of each document's ids; only a first piece is shorter than `size`."""
+def cut_into_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, size: int = 1024, keeps: bool = True) -> DataFrame:
+    """A row per piece of each document's ids; only a first piece is shorter than `size`. keeps: workers keep their piece
+    tables from task to task, which saves time and takes memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from twinscope.llm.words import encoder
@@ -55,7 +56,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps=True), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, keeps), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -115,9 +116,9 @@ def places(bins: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {k: table[:, i] for i, k in enumerate(("length", "rank", "sequence", "m", "offset"))}
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, size: int = 1024, rows_per_block: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, size: int = 1024, rows_per_block: int = 500_000, keeps: bool = True) -> DataFrame:
     """Per piece its sequence and its offset there. Lengths with many pieces are ranked in blocks of `rows_per_block`."""
-    pieces = stored(cut_into_pieces(docs, tokenizer, kind, end_id, size), "pieces")
+    pieces = stored(cut_into_pieces(docs, tokenizer, kind, end_id, size, keeps), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     table = places(plan(histogram, size))
     where = table["length"] << 44 | table["rank"]

@@ -209,10 +209,19 @@ def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None
     Of rows with one rid, which are among the repeats, one is read."""
     of_rows = twice.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "h", "c", "g")).alias("a"))
     picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(twice.select("rid").distinct().select(F.xxhash64("rid").alias("h"))))
+    copies = None if repeats is None else docs.sparkSession.sparkContext.broadcast(repeats)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of the repeats, a task gives each once
         for batch in batches:
-            yield batch.filter(pa.array(picked.value.has(batch.column("bit").to_numpy()))).select(["rid", "text"])
+            batch = batch.filter(pa.array(picked.value.has(batch.column("bit").to_numpy())))
+            again = np.zeros(batch.num_rows, bool) if copies is None else copies.value.has(batch.column("bit").to_numpy())
+            fresh = np.ones(batch.num_rows, bool)
+            for i, rid in zip(np.flatnonzero(again).tolist(), batch.column("rid").to_numpy()[again].tolist(), strict=True):
+                fresh[i] = rid not in seen
+                seen.add(rid)
+            batch, again = batch.filter(pa.array(fresh)), again[fresh]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("text"), pa.array(again)], names=["rid", "text", "again"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +243,10 @@ def segments(docs: DataFrame, twice: DataFrame, size: int, repeats: Bloom | None
                     out.append((route, rid, start, bytes(body[start:end]), h[x:y].tolist(), c[x:y].tolist(), (lo[x:y] - start).tolist(), (hi[x:y] - start).tolist(), (g[x:y] - start).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(_SEGMENT.names, x, strict=True)) for x in out], schema=_SEGMENT)
 
-    texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(tidy(pick), "rid long, text string")
+    texts = docs.select("rid", "text", F.xxhash64("rid").alias("bit")).mapInArrow(tidy(pick), "rid long, text string, again boolean")
     if repeats is not None:
-        once, again = apart(texts, repeats)
-        texts = once.union(again.groupBy("rid").agg(F.first("text").alias("text")))
-    return texts.join(of_rows, "rid").mapInArrow(tidy(cut), "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>, g array<long>")
+        texts = texts.where("not again").select("rid", "text").union(texts.where("again").groupBy("rid").agg(F.first("text").alias("text")))
+    return texts.select("rid", "text").join(of_rows, "rid").mapInArrow(tidy(cut), "route long, rid long, start long, body binary, h array<long>, c array<long>, lo array<long>, hi array<long>, g array<long>")
 
 
 _LONGS = pa.list_(pa.int64())
