@@ -29,8 +29,8 @@ from twinscope.llm.common import Bloom, RollingHash, dropped, packed, run_hashes
 
 GRAM = 32
 CHUNK = 1 << 20
-SHARD = 700_000
-PIECE = 300_000
+SHARD = 400_000
+PIECE = 200_000
 #: A document is dealt by an anchor of so few occurrences, if it has one: passages of many documents come after copies.
 RARE = 50
 #: Rows of a key, or of many keys, whose windows are merged at once.
