@@ -33,8 +33,9 @@ SHARD = 400_000
 PIECE = 200_000
 #: A document is dealt by an anchor of so few occurrences, if it has one: passages of many documents come after copies.
 RARE = 50
-#: Rows of a key, or of many keys, whose windows are merged at once.
-MEET = 2000
+#: Rows of a key, or of many keys, whose windows are merged at once; a key with more is merged window place by window
+#: place, which holds one window of each row at a time.
+MEET = 256
 #: An anchor with more than this share of all occurrences is joined by broadcast; there are fewer than its inverse.
 HOT_SHARE = 0.001
 
@@ -266,7 +267,8 @@ def dealt(parts: DataFrame) -> DataFrame:
 
 def in_shards(parts: DataFrame, size: int) -> DataFrame:
     """kind 0: rid and a span (a to b) of repeating windows. kind 1: windows that another shard may have: rid, where the
-    first begins, the key that equal windows share, the shard and their bytes; no window is given twice by a shard."""
+    first begins, the key that equal windows share, the shard, the bytes of the first before the key's, and all bytes; no
+    window is given twice by a shard."""
     half = (size - GRAM) // 2
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +278,7 @@ def in_shards(parts: DataFrame, size: int) -> DataFrame:
         x, y = _runs(marks)  # a run ends in its part, as the last window of a part ends inside of it
         owner = np.searchsorted(base, x, side="right") - 1
         shift = start[owner] - base[owner]
-        spans = pd.DataFrame({"kind": 0, "rid": rid[owner], "a": x + shift, "b": y - 1 + size + shift, "shard": 0, "body": None})
+        spans = pd.DataFrame({"kind": 0, "rid": rid[owner], "a": x + shift, "b": y - 1 + size + shift, "shard": 0, "before": 0, "body": None})
         h, c = (np.concatenate(part[k].to_list()) for k in ("h", "c"))
         lo, hi, g = (np.concatenate([np.asarray(v) + b for v, b in zip(part[k], base, strict=False)]) for k in ("lo", "hi", "g"))
         _, back, here = np.unique(h, return_inverse=True, return_counts=True)
@@ -301,10 +303,10 @@ def in_shards(parts: DataFrame, size: int) -> DataFrame:
         key = run_hashes(text, begin[of], length[of]).view(np.int64)
         owner = np.searchsorted(base, s, side="right") - 1
         data = text.tobytes()
-        far = pd.DataFrame({"kind": 1, "rid": rid[owner], "a": s - base[owner] + start[owner], "b": key, "shard": int(part["shard"].iloc[0]), "body": [data[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]})
+        far = pd.DataFrame({"kind": 1, "rid": rid[owner], "a": s - base[owner] + start[owner], "b": key, "shard": int(part["shard"].iloc[0]), "before": begin[of] - s, "body": [data[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]})
         return pd.concat([x for x in (spans, far) if len(x)]) if len(spans) + len(far) else spans
 
-    return parts.groupBy("shard").applyInPandas(tidy_groups(run), "kind int, rid long, a long, b long, shard long, body binary")
+    return parts.groupBy("shard").applyInPandas(tidy_groups(run), "kind int, rid long, a long, b long, shard long, before int, body binary")
 
 
 def _laid(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,59 +364,78 @@ def _spans(out: list[tuple[np.ndarray, np.ndarray]], size: int) -> pa.RecordBatc
 def across_shards(found: DataFrame, size: int) -> DataFrame:
     """rid and spans of windows that repeat in another shard than their own."""
 
-    def meet(rows: list[pa.RecordBatch], before: Windows | None, out: list) -> Windows | None:
-        """rows: of one key, or of many whole keys. before: what earlier rows of the same key have."""
+    def united_runs(runs: list[Windows], out: list) -> None:
+        while len(runs) > 1:
+            runs = [runs[i].merged(runs[i + 1], out) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+
+    def meet(rows: list[pa.RecordBatch], out: list) -> None:
+        """rows: of whole keys."""
         part = pa.Table.from_batches(rows)
         key, rid, at, shard = (part.column(c).to_numpy() for c in ("b", "rid", "a", "shard"))
         change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        alone = np.repeat(np.diff(np.append(change, len(key))) == 1, np.diff(np.append(change, len(key))))
-        some = np.flatnonzero(~alone) if before is None else np.arange(len(key))
+        sizes = np.diff(np.append(change, len(key)))
+        some = np.flatnonzero(np.repeat(sizes, sizes) > 1)
         some = some[np.argsort(shard[some], kind="stable")]
         if not len(some):
-            return before
+            return
         cuts = np.flatnonzero(np.diff(shard[some])) + 1
         bodies = part.column("body").take(pa.array(some)).to_pylist()
-        runs = [Windows.of(bodies[x[0] : x[-1] + 1], rid[some[x]], at[some[x]], size) for x in np.split(np.arange(len(some)), cuts)]
-        while len(runs) > 1:
-            runs = [runs[i].merged(runs[i + 1], out) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
-        return runs[0] if before is None else before.merged(runs[0], out)
+        united_runs([Windows.of(bodies[x[0] : x[-1] + 1], rid[some[x]], at[some[x]], size) for x in np.split(np.arange(len(some)), cuts)], out)
+
+    def meet_by_place(rows: list[pa.RecordBatch], out: list) -> None:
+        """rows: of one key. Equal windows have equally many bytes before the key's."""
+        part = pa.Table.from_batches(rows)
+        part = part.take(np.argsort(part.column("shard").to_numpy(), kind="stable"))
+        rid, at, shard, before = (part.column(c).to_numpy() for c in ("rid", "a", "shard", "before"))
+        bodies = part.column("body").to_pylist()
+        many = np.array([len(x) for x in bodies], np.int64) - size + 1
+        for place in range(int((before - many).min()) + 1, int(before.max()) + 1):
+            on = np.flatnonzero((place <= before) & (place > before - many))
+            if len(on) < 2:
+                continue
+            step = before[on] - place
+            cuts = np.flatnonzero(np.diff(shard[on])) + 1
+            parts = [[bodies[i][k : k + size] for i, k in zip(on[x].tolist(), step[x].tolist(), strict=True)] for x in np.split(np.arange(len(on)), cuts)]
+            ends = np.append(0, np.append(cuts, len(on)))
+            united_runs([Windows.of(w, rid[on[x:y]], (at[on] + step)[x:y], size) for w, x, y in zip(parts, ends, ends[1:], strict=False)], out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []  # rows of the last key, and of whole keys before it
-        before: Windows | None = None  # of the last key, when it has many rows
-        for batch in batches:
-            if not batch.num_rows:
+        kept: list[pa.RecordBatch] = []  # of whole keys
+        for group in keyed(batches):
+            if sum(b.num_rows for b in group) > MEET:
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                meet_by_place(group, out)
+                yield _spans(out, size)
                 continue
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            key = batch.column("b").to_numpy()
-            if before is not None:
-                same = int((key == last).sum())
-                if same:
-                    before = meet([batch.slice(0, same)], before, out)
-                    batch, key = batch.slice(same), key[same:]
-                if len(key):
-                    before = None
-            if len(key):
-                kept.append(batch)
-                last = key[-1]
-                if sum(b.num_rows for b in kept) >= MEET:
-                    tail = kept[-1].num_rows - int((key == last).sum())
-                    if tail:
-                        meet([*kept[:-1], kept[-1].slice(0, tail)], None, out)
-                        kept = [kept[-1].slice(tail)]
-                    elif (kept[0].column("b").to_numpy()[0] != last):
-                        whole = [b.filter(pa.array(b.column("b").to_numpy() != last)) for b in kept]
-                        meet([b for b in whole if b.num_rows], None, out)
-                        kept = [x for b in kept if (x := b.filter(pa.array(b.column("b").to_numpy() == last))).num_rows]
-                    if sum(b.num_rows for b in kept) >= MEET:  # one key alone
-                        before, kept = meet(kept, None, out), []
-            yield _spans(out, size)
+            kept += group
+            if sum(b.num_rows for b in kept) >= MEET:
+                out = []
+                meet(kept, out)
+                yield _spans(out, size)
+                kept = []
         if kept:
             out = []
-            meet(kept, None, out)
+            meet(kept, out)
             yield _spans(out, size)
 
-    windows = found.where("kind = 1").select("b", "rid", "a", "shard", "body")
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """The rows of each key of two rows or more."""
+        group: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            key = batch.column("b").to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if group and key[s] != last:
+                    if sum(b.num_rows for b in group) > 1:
+                        yield group
+                    group = []
+                group.append(batch.slice(s, e - s))
+                last = key[s]
+        if sum(b.num_rows for b in group) > 1:
+            yield group
+
+    windows = found.where("kind = 1").select("b", "rid", "a", "shard", "before", "body")
     return windows.repartition("b").sortWithinPartitions("b").mapInArrow(tidy(merge), "rid long, s long, e long")
 
 
