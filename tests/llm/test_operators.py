@@ -516,7 +516,7 @@ def test_suffix_dedup(docs, none):
     assert suffixes.dedup(none).count() == 0
 
 
-@pytest.mark.parametrize("meet", [3, 2000])
+@pytest.mark.parametrize("meet", [3, 256])
 def test_suffix_shards_meet(spark, monkeypatch, meet):
     monkeypatch.setattr(suffixes, "MEET", meet)
     monkeypatch.setattr(suffixes, "SHARD", 4000)
