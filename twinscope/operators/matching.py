@@ -33,8 +33,8 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, most: int | None = None
 
 
 def sampled_bits(table: int, size: int, bits: int = 64) -> list[int]:
-    """The bits that a table of the index reads: spread over the hash by a stride without a common factor."""
-    return [(table * 11 + 5 * k + table * k) % bits for k in range(size)]
+    """The bits that a table of the index reads, `bits` a power of two: all different, by an odd stride of the table's own."""
+    return [(table * 11 + (2 * table + 5) * k) % bits for k in range(size)]
 
 
 def lsh_neighbour(left: DataFrame, right: DataFrame, tables: int = 6, size: int = 12, probes: int = 1) -> DataFrame:
