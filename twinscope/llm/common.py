@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +52,7 @@ def tidy(run: Callable, keeps: bool = False) -> Callable:
 def tidy_groups(run: Callable) -> Callable:
     """run, for applyInPandas; as tidy, after a group that was large."""
 
-    def tidied(part: pd.DataFrame) -> pd.DataFrame:
+    def tidied(part):
         let_go()
         out = run(part)
         let_go()
@@ -287,6 +286,18 @@ class Bloom:
         return out
 
 
+def member(spark: SparkSession, of: Bloom):
+    """A UDF of longs that are never null: whether `of` may have them. It is marked as not deterministic so that it runs
+    where it is put, once: a copy of it in a pushed filter, or on the other side of a join, would be one more worker."""
+    shared = spark.sparkContext.broadcast(of)
+
+    @F.arrow_udf("boolean")
+    def hit(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.has(h.to_numpy(zero_copy_only=False)))
+
+    return hit.asNondeterministic()
+
+
 def whole(batches, *names: str) -> list[np.ndarray]:
     """Columns of all batches of a partition as arrays."""
     got = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
@@ -296,12 +307,7 @@ def whole(batches, *names: str) -> list[np.ndarray]:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids. A Bloom filter keeps most other rows out of the join."""
     ids = ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))))
-
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
-        return pd.Series(picked.value.has(h.to_numpy()))
-
+    hit = member(docs.sparkSession, Bloom.of(ids.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))))
     marked = docs.select(F.struct("*").alias("row"), "doc_id", hit(F.xxhash64(F.col("doc_id").cast("long"))).alias("hit"))
     rest = marked.where("hit").join(ids, "doc_id", "left_anti")
     return marked.where("not hit").select("row.*").union(rest.select("row.*"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, dropped, mixed, packed, slices, stored, tidy, tidy_groups, whole, wide_hashes
+from twinscope.llm.common import Bloom, RollingHash, dropped, mixed, member, packed, slices, stored, tidy, tidy_groups, whole, wide_hashes
 from twinscope.llm.components import components
 
 MOST = 2
@@ -340,11 +340,7 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) -> DataFr
     plain = docs.select("doc_id", "rid", "text")
     kept, counts = kept_lines(plain, most, shortest)
     marks = stored(counts.join(kept, "rid", "left").where("n_near is not null or coalesce(size(kept), 0) < n_part"), "line-marks")
-    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(marks.select(F.xxhash64("rid").alias("h"))))
-
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
-        return pd.Series(picked.value.has(h.to_numpy()))
+    hit = member(docs.sparkSession, Bloom.of(marks.select(F.xxhash64("rid").alias("h"))))
 
     @F.pandas_udf("struct<text: string, n_removed: long>")
     def cut(text: pd.Series, part: pd.Series, stay: pd.Series) -> pd.DataFrame:
@@ -359,6 +355,7 @@ def dedup(docs: DataFrame, most: int = MOST, shortest: int = SHORTEST) -> DataFr
             rows.append(("\n".join(out), len(lines) - len(out)))
         return pd.DataFrame(rows, columns=["text", "n_removed"])
 
+    cut = cut.asNondeterministic()  # a caller's filter on the new text is not pushed below, which would cut twice
     marked = docs.withColumn("hit", hit(F.xxhash64("rid"))).withColumn("n_lines", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     zero = F.lit(0).cast("long")
     clean = marked.where("not hit").withColumn("n_removed", zero).withColumn("n_near", zero)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, RollingHash, dropped, packed, run_hashes, slices, stored, tidy, tidy_groups
+from twinscope.llm.common import Bloom, RollingHash, dropped, member, packed, run_hashes, slices, stored, tidy, tidy_groups
 
 GRAM = 32
 CHUNK = 1 << 20
@@ -195,12 +195,7 @@ def _covered(lo: np.ndarray, hi: np.ndarray, size: int) -> int:
 
 def apart(rows: DataFrame, repeats: Bloom) -> tuple[DataFrame, DataFrame]:
     """rows whose rid is not among the repeats, and the others with a few more."""
-    shared = rows.sparkSession.sparkContext.broadcast(repeats)
-
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.has(h.to_numpy()))
-
+    hit = member(rows.sparkSession, repeats)
     marked = rows.withColumn("again", hit(F.xxhash64("rid")))
     return marked.where("not again").drop("again"), marked.where("again").drop("again")
 
@@ -482,55 +477,58 @@ def united(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def dedup(docs: DataFrame, size: int = 200) -> DataFrame:
-    """All columns of docs, and (in place of columns of these names) spans (array of s, e) and kept (the bytes that remain)."""
+def less(text: str, runs: list[tuple[int, int]]) -> str:
+    """text without runs of its bytes; a run gives up the bytes of characters that it only cuts."""
+    raw, at, parts = text.encode(), 0, []
+    for a, b in runs:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        parts.append(raw[at:a])
+        at = b
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def dedup(docs: DataFrame, size: int = 200, rewrite: bool = False) -> DataFrame:
+    """All columns of docs, and (in place of columns of these names) spans (array of s, e) and kept (the bytes that remain).
+    rewrite: without kept; text loses its spans, but for the bytes of characters that a span only cuts."""
     names = [c for c in docs.columns if c not in ("spans", "kept")]
     docs = docs.select(F.struct(*(c for c in names if c != "text")).alias("row"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
     spans = stored(repeated_spans(docs.select("rid", "text"), size), "spans")
-    picked = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("rid").alias("h"))))
+    hit = member(docs.sparkSession, Bloom.of(spans.select(F.xxhash64("rid").alias("h"))))
+    new, kind = ("text", "string") if rewrite else ("kept", "binary")
 
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
-        return pd.Series(picked.value.has(h.to_numpy()))
-
-    @F.pandas_udf("struct<spans: array<struct<s: long, e: long>>, kept: binary>")
+    @F.pandas_udf(f"struct<spans: array<struct<s: long, e: long>>, {new}: {kind}>")
     def cut(text: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for t, s in zip(text, found, strict=True):
-            raw, runs = (t or "").encode(), united(s) if s is not None else []
+            runs = united(s) if s is not None else []
+            marks = [{"s": a, "e": b} for a, b in runs]
+            if rewrite:
+                rows.append((marks, less(t, runs) if runs else t))
+                continue
+            raw = (t or "").encode()
             ends = [0, *(x for r in runs for x in r), len(raw)]
-            rows.append(([{"s": a, "e": b} for a, b in runs], b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))))
-        return pd.DataFrame(rows, columns=["spans", "kept"])
+            rows.append((marks, b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))))
+        return pd.DataFrame(rows, columns=["spans", new])
 
+    cut = cut.asNondeterministic()  # a caller's filter on the new text is not pushed below, which would cut twice
     marked = docs.withColumn("hit", hit(F.xxhash64("rid")))
-    clean = marked.where("not hit").withColumn("spans", F.array().cast("array<struct<s: long, e: long>>")).withColumn("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    clean = marked.where("not hit").withColumn("spans", F.array().cast("array<struct<s: long, e: long>>"))
+    clean = clean if rewrite else clean.withColumn("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rest = marked.where("hit").join(spans.withColumnRenamed("spans", "found"), "rid", "left")
-    rest = rest.withColumn("cut", cut("text", "found")).withColumn("spans", F.col("cut.spans")).withColumn("kept", F.col("cut.kept"))
-    columns = [*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), "spans", "kept"]
+    rest = rest.withColumn("cut", cut("text", "found")).withColumn("spans", F.col("cut.spans")).withColumn(new, F.col(f"cut.{new}"))
+    columns = [*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), "spans", *([] if rewrite else ["kept"])]
     return clean.select(*columns).unionByName(rest.select(*columns))
 
 
 def rewritten(deduped: DataFrame) -> DataFrame:
-    """The columns of the documents, with text less its spans; a span gives up the bytes of characters it only cuts."""
+    """What dedup gives with `rewrite`, from what it gives without."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(text, spans, strict=True):
-            if t is None or not len(found):
-                out.append(t)
-                continue
-            raw, at, parts = t.encode(), 0, []
-            for s in found:
-                a, b = s["s"], s["e"]
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                parts.append(raw[at:a])
-                at = b
-            out.append(b"".join([*parts, raw[at:]]).decode())
-        return pd.Series(out, dtype=object)
+        return pd.Series([less(t, [(x["s"], x["e"]) for x in found]) if t is not None and len(found) else t for t, found in zip(text, spans, strict=True)], dtype=object)
 
     return deduped.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).drop("kept")
 
