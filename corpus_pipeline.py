@@ -49,7 +49,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffixes.rewritten(suffixes.dedup(_slim(docs))).where(F.col("text").isNull() | (F.size("spans") == 0) | F.col("text").rlike(_HAS_WORD))
+    out = suffixes.dedup(_slim(docs), rewrite=True).where(F.col("text").isNull() | (F.size("spans") == 0) | F.col("text").rlike(_HAS_WORD))
     return _restored(out, docs)
 
 
