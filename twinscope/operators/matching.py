@@ -1,8 +1,9 @@
-"""Nearest fingerprints: range joins by bands, bit-sampling LSH, mutual neighbours and votes for images."""
+"""Nearest fingerprints: range joins by near bands, bit-sampling LSH, mutual neighbours and votes for images."""
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,18 +11,54 @@ from pyspark.sql import functions as F
 from twinscope.functions.fingerprints import hamming
 
 
-def bands(h: Column, count: int, bits: int = 64) -> Column:
-    """The hash cut into `count` runs of bits, each with its number: two hashes fewer than `count` bits apart share one."""
-    cuts = [bits * k // count for k in range(count + 1)]
-    part = lambda a, b: F.shiftrightunsigned(h, a).bitwiseAND((1 << (b - a)) - 1)
-    return F.array(*(F.struct(F.lit(k).alias("band"), part(a, b).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+class Bands:
+    """A hash of `bits` bits cut into bands, each with a radius: two hashes at most `most` bits apart are within the radius
+    in one band at least, as the radii and the number of bands add up to more than `most`.
+
+    There are as few bands (the wider, the fewer strangers meet) as keep the ways to change a band at MOST_WAYS at most.
+    """
+
+    MOST_WAYS = 100
+
+    def __init__(self, most: int, bits: int = 64):
+        for count in range(1, most + 2):
+            even = lambda n, k, c=count: n * (k + 1) // c - n * k // c
+            self.parts = [(bits * k // count, even(bits, k), even(most + 1, k) - 1) for k in range(count)]  # first bit, width, radius
+            if max(sum(comb(w, i) for i in range(r + 1)) for _, w, r in self.parts) <= self.MOST_WAYS:
+                return
+
+    def _value(self, h: Column, at: int, width: int) -> Column:
+        return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+    def own(self, h: Column) -> Column:
+        """A struct of band and value for each band."""
+        return F.array(*(F.struct(F.lit(k).alias("band"), self._value(h, at, w).alias("value")) for k, (at, w, _) in enumerate(self.parts)))
+
+    def near(self, h: Column) -> Column:
+        """As own, with all values inside of each band's radius."""
+
+        def ways(k: int, at: int, width: int, radius: int) -> Column:
+            masks = [sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(width), n)]
+            value = self._value(h, at, width)
+            return F.transform(F.array(*(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in masks)), lambda m: F.struct(F.lit(k).alias("band"), value.bitwiseXOR(m).alias("value")))
+
+        return F.flatten(F.array(*(ways(k, *p) for k, p in enumerate(self.parts))))
+
+    def first(self, x: Column, y: Column) -> Column:
+        """The first band in which two hashes are within its radius."""
+        differ = x.bitwiseXOR(y)
+        return F.coalesce(*(F.when(F.bit_count(self._value(differ, at, w)) <= r, k) for k, (at, w, r) in enumerate(self.parts)))
 
 
 def within_distance(left: DataFrame, right: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """a, b, distance of all pairs of (id, h) rows at most `most` bits apart: equal bands meet, the distance decides."""
-    side = lambda df, name: df.select(F.col("id").alias(name), F.col("h").alias(f"h{name}"), F.inline(bands(F.col("h"), most + 1, bits)))
-    met = side(left, "a").join(side(right, "b"), ["band", "value"])
-    return met.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    """a, b, distance of all pairs of (id, h) rows at most `most` bits apart. Rows meet where a band of the right one is near
+    the left one's; a pair that meets in several bands is given for its first one, so nothing has to be made distinct."""
+    cut = Bands(most, bits)
+    asked = left.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(cut.near(F.col("h"))))
+    kept = right.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(cut.own(F.col("h"))))
+    distance = hamming(F.col("ha"), F.col("hb"))
+    met = asked.join(kept, ["band", "value"]).where((distance <= most) & (cut.first(F.col("ha"), F.col("hb")) == F.col("band")))
+    return met.select("a", "b", distance.alias("distance"))
 
 
 def nearest_neighbour(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:

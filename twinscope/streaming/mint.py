@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from twinscope.functions.fingerprints import hamming
-from twinscope.operators.matching import bands
+from twinscope.operators.matching import within_distance
 
 
 def near_gallery(stream: DataFrame, gallery: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """a, b, distance of streamed (id, h) rows and gallery rows at most `most` bits apart. The bands meet in a stream-static
-    join; a pair that meets in several bands is given for its first one, so no state is kept."""
-    side = lambda df, name: df.select(F.col("id").alias(name), F.col("h").alias(f"h{name}"), F.inline(bands(F.col("h"), most + 1, bits)))
-    met = side(stream, "a").join(side(gallery, "b"), ["band", "value"])
-    d = hamming(F.col("ha"), F.col("hb"))
-    equal = F.transform(F.arrays_zip(bands(F.col("ha"), most + 1, bits), bands(F.col("hb"), most + 1, bits)), lambda x: x["0"]["value"] == x["1"]["value"])
-    return met.where((d <= most) & (F.array_position(equal, True) - 1 == F.col("band"))).select("a", "b", d.alias("distance"))
+    """a, b, distance of streamed (id, h) rows and gallery rows at most `most` bits apart: a stream-static join that keeps no
+    state, as each pair is given once."""
+    return within_distance(stream, gallery, most, bits)
 
 
 def run_once(found: DataFrame, path: str, checkpoint: str) -> None:
