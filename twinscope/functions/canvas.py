@@ -39,6 +39,11 @@ def once(spark: SparkSession, sf_dir: str, label: str, make) -> DataFrame:
     return _made[key]
 
 
+def forget() -> None:
+    """The next query makes its tables anew."""
+    _made.clear()
+
+
 def manipulated(v: str, source: str, value: str) -> Column:
     """The canvas whose cell i is `value` with x the source cell."""
     cell = f"{v}[cast({source.format(D='div')} as int)]"
