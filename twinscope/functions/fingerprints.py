@@ -40,7 +40,8 @@ def median_of(v: Column) -> Column:
 
 def average_hash(v: Column) -> Column:
     """A bit per cell, lowest first: the cell is above the mean."""
-    return F.transform(F.array(v), lambda x: pack(F.transform(x, lambda c: c > mean_of(x))))[0]
+    bits = lambda x: F.transform(F.array(mean_of(x)), lambda m: pack(F.transform(x, lambda c: c > m)))[0]
+    return F.transform(F.array(v), bits)[0]
 
 
 def difference_hash(v: Column) -> Column:

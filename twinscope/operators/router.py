@@ -18,7 +18,7 @@ def canvas_features(rows: DataFrame) -> DataFrame:
     """rows with numbers f0, f1, ... of their canvas v, as column expressions."""
     v = F.col("v")
     mean = fp.mean_of(v)
-    spread = F.transform(F.array(v), lambda x: F.aggregate(F.transform(x, lambda c: F.pow(c - fp.mean_of(x), F.lit(2))), F.lit(0.0), lambda a, y: a + y))[0]
+    spread = F.transform(F.array(mean), lambda m: F.aggregate(v, F.lit(0.0), lambda a, c: a + F.pow(c - m, F.lit(2))))[0]
     away = lambda source: F.transform(F.array(v), lambda x: F.aggregate(F.transform(x, lambda c, i: F.abs(c - F.get(x, source(i).cast("int")))), F.lit(0.0), lambda a, y: a + y))[0]
     numbers = (
         mean, F.sqrt(spread / 64), F.array_min(v), F.array_max(v), F.size(F.array_distinct(v)) / 64.0,

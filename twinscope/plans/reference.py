@@ -593,7 +593,7 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a9_data_dependent_sweep", f"SELECT threshold, tp, fp, fn, tn, {PRF} FROM c", _curve("orb", "(SELECT unnest(range(0, (SELECT max(orb) FROM scored) + 1)) AS th)"))
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return sweeps.curve(s, "orb", range(s.agg(F.max("orb")).head()[0] + 1))
+    return sweeps.curve(s, "orb", range(s.agg(F.coalesce(F.max("orb"), F.lit(-1))).head()[0] + 1))
 
 
 def _budget(s: str, steps: int) -> str:
