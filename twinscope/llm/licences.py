@@ -6,9 +6,9 @@ licence header. A file whose name says so and that has a header, or whose whole
 licence file: its licence holds for its directory. A file without a header of its own takes the licence of the nearest
 directory above it that has one, found by joining directories on their paths.
 
-Document frequencies of all terms are counted over all files, by the terms' 64-bit hashes. Units without any of a
-template's weightiest terms are left out where the rest of its vector is too short to reach the limit (the cosine is
-at most the length of the part of the template's vector that the two share), so this loses nothing.
+Document frequencies of all terms are counted over all files, by the terms' 64-bit hashes. Units that share too little
+of every template are left out before anything is shuffled: the cosine is at most the length of the part of the
+template's vector that the two share, so this loses nothing.
 
 Null texts are empty, null paths have no directory. Each row is a file of its own and gets its own row, also where
 file_ids repeat or are null; rows with the same path are files of one directory. Of equally near templates the first by
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope.llm.common import row_key, stored
@@ -140,19 +140,38 @@ def cosines(units: DataFrame, idf: dict[str, float], of_all: DataFrame, keys: li
     return best.select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))
 
 
-def gate(idf: dict[str, float], limit: float) -> str:
-    """A pattern of terms, one of which is in every unit whose cosine with some template is `limit` or more."""
-    needed: set[str] = set()
-    for _, _, counts in _template_terms():
-        square = {t: (c * idf[t]) ** 2 for t, c in counts.items()}
-        rest = sum(square.values())
-        least = (limit - 1e-4) ** 2 * rest  # cosines are rounded
-        for t in sorted(square, key=lambda t: (-square[t], t)):
-            if rest < least:
-                break
-            needed.add(t)
-            rest -= square[t]
-    return f"(?<![a-z0-9])({'|'.join(sorted(needed))})(?![a-z0-9])"
+BUCKETS = 512
+
+
+class Gate:
+    """A text's `mass`: the largest squared length of the part of a template's unit vector whose terms the text has. By
+    Cauchy-Schwarz its cosine with any template is at most the mass's root, and parts of a text have no more mass."""
+
+    def __init__(self, spark: SparkSession, idf: dict[str, float]):
+        squares: dict[str, list[float]] = {}
+        templates = _template_terms()
+        for i, (_, _, counts) in enumerate(templates):
+            total = sum((c * idf[t]) ** 2 for t, c in counts.items())
+            for t, c in counts.items():
+                squares.setdefault(t, [0.0] * len(templates))[i] = (c * idf[t]) ** 2 / total
+        words = spark.createDataFrame([(t,) for t in sorted(squares)], "t string")
+        buckets: dict[int, list[str]] = {}
+        for t, h in words.select("t", F.xxhash64("t")).collect():  # the templates' terms
+            buckets.setdefault(h % BUCKETS, []).append(f"named_struct('h', {h}L, 's', array({', '.join(f'{x!r}D' for x in squares[t])}))")
+        # one constant, looked up by a term's lowest bits
+        self.table = F.expr(f"array({', '.join(f'array({", ".join(buckets[k])})' if k in buckets else 'null' for k in range(BUCKETS))})")
+        self.zeros = F.expr(f"array_repeat(0.0D, {len(templates)})")
+
+    def mass(self, text: Column) -> Column:
+        hashes = F.array_distinct(F.transform(terms(text), lambda x: F.xxhash64(x)))
+        bucket = lambda x: F.get(self.table, x.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int"))
+        of_templates = F.filter(hashes, lambda x: F.exists(bucket(x), lambda e: e["h"] == x))
+        parts = F.transform(of_templates, lambda x: F.filter(bucket(x), lambda e: e["h"] == x)[0]["s"])
+        return F.array_max(F.aggregate(parts, self.zeros, lambda total, s: F.zip_with(total, s, lambda p, q: p + q)))
+
+    def least(self, limit: float) -> float:
+        """No unit of less mass has a cosine of `limit`, which is rounded."""
+        return (limit - 1e-4) ** 2
 
 
 def scan(files: DataFrame, header: float = 0.6, whole: float = 0.5) -> DataFrame:
@@ -162,15 +181,15 @@ def scan(files: DataFrame, header: float = 0.6, whole: float = 0.5) -> DataFrame
     files = files.withColumn("_k", first).withColumn("_r", all_)
     key = ["_k", "_r"]
     idf, of_all = weights(files)
-    may = lambda x, limit: F.lower(x).rlike(gate(idf, limit))
+    gate = Gate(files.sparkSession, idf)
+    near = stored(files.withColumn("mass", gate.mass(F.col("text"))).where(F.col("mass") >= gate.least(min(header, whole))).select(*key, "text", "mass"), "licence-texts")
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09\x0B-\x0D]*\n"), lambda x: x.contains("\n"))
-    units = F.filter(F.concat(F.split("text", "\n"), paragraphs), lambda x: may(x, header))
-    marked = files.select(*key, "text", F.when(may(F.col("text"), header), units).otherwise(F.array().cast("array<string>")).alias("units"))
-    lines = marked.where(F.size("units") > 0).select(*key, F.posexplode("units").alias("line", "text"))
+    units = F.filter(F.concat(F.split("text", "\n"), paragraphs), lambda x: gate.mass(x) >= gate.least(header))
+    lines = stored(near.where(F.col("mass") >= gate.least(header)).select(*key, F.posexplode(units).alias("line", "text")), "licence-units")
     of_lines = cosines(lines, idf, of_all, [*key, "line"]).where(F.col("cosine") >= header)
     own = of_lines.groupBy(*key).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
     own = own.select(*key, F.col("best.licence").alias("own"), (-F.col("best.c")).alias("own_cosine"))
-    of_texts = cosines(files.where(may(F.col("text"), whole)).select(*key, "text"), idf, of_all, key).where(F.col("cosine") >= whole)
+    of_texts = cosines(near.where(F.col("mass") >= gate.least(whole)).select(*key, "text"), idf, of_all, key).where(F.col("cosine") >= whole)
     of_texts = of_texts.select(*key, F.col("licence").alias("whole"), F.col("cosine").alias("whole_cosine"))
     paths = files.select(*key, "file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
     known = paths.join(own, key, "left").join(of_texts, key, "left")
