@@ -122,6 +122,15 @@ def weights(files: DataFrame) -> tuple[dict[str, float], DataFrame]:
     return {t: found.get(t, math.log(1 + n) + 1) for t in vocabulary}, of_all
 
 
+def counted(text: Column) -> Column:
+    """h and tf of each term of a text; null if it has none. Runs of the sorted hashes, so nothing is shuffled."""
+    hashes = F.sort_array(F.transform(F.filter(terms(text), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("h"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf")))
+    of_sorted = lambda s: F.when(F.size(s) > 0, F.transform(F.array(begins(s)), lambda at: runs(s, at))[0])
+    return F.transform(F.array(hashes), of_sorted)[0]
+
+
 def cosines(units: DataFrame, idf: dict[str, float], of_all: DataFrame, keys: list[str]) -> DataFrame:
     """keys, licence and cosine of the template nearest to each unit's text. units: keys and `text`."""
     spark = units.sparkSession
@@ -130,11 +139,9 @@ def cosines(units: DataFrame, idf: dict[str, float], of_all: DataFrame, keys: li
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in counts.items()))
         rows += [(name, k, t, c * idf[t] / norm) for t, c in counts.items()]
     templates = spark.createDataFrame(rows, "licence string, k int, t string, share double")
-    split = units.select(*keys, F.explode(F.filter(terms(F.col("text")), lambda x: x != "")).alias("t"))
-    tf = split.groupBy(*keys, "t").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("h", F.xxhash64("t")).join(of_all, "h").withColumn("w", F.col("tf") * F.col("idf"))
+    tf = units.select(*keys, F.inline(counted(F.col("text")))).join(of_all, "h").withColumn("w", F.col("tf") * F.col("idf"))
     norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(F.broadcast(templates), "t").groupBy(*keys, "licence", "k").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    dots = tf.join(F.broadcast(templates.withColumn("h", F.xxhash64("t"))), "h").groupBy(*keys, "licence", "k").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     near = dots.join(norms, keys).select(*keys, "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
     best = near.groupBy(*keys).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
     return best.select(*keys, F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))
