@@ -184,12 +184,12 @@ class Gate:
 def scan(files: DataFrame, header: float = 0.6, whole: float = 0.5) -> DataFrame:
     """file_id, path, licence, cosine and origin (header, directory, none) of every file. files: file_id, path, text."""
     files = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
-    first, all_ = row_key("file_id", "path", "text")  # equal rows have equal vectors but for their length
+    first, all_ = row_key("file_id", "path", "text")
     files = files.withColumn("_k", first).withColumn("_r", all_)
     key = ["_k", "_r"]
     idf, of_all = weights(files)
     gate = Gate(files.sparkSession, idf)
-    near = stored(files.withColumn("mass", gate.mass(F.col("text"))).where(F.col("mass") >= gate.least(min(header, whole))).select(*key, "text", "mass"), "licence-texts")
+    near = stored(files.withColumn("mass", gate.mass(F.col("text"))).where(F.col("mass") >= gate.least(min(header, whole))).select(*key, "text", "mass").dropDuplicates(key), "licence-texts")  # equal rows are read once
     paragraphs = F.filter(F.split("text", r"\n[\x20\x09\x0B-\x0D]*\n"), lambda x: x.contains("\n"))
     units = F.filter(F.concat(F.split("text", "\n"), paragraphs), lambda x: gate.mass(x) >= gate.least(header))
     lines = stored(near.where(F.col("mass") >= gate.least(header)).select(*key, F.posexplode(units).alias("line", "text")), "licence-units")
