@@ -445,6 +445,35 @@ def test_jaccard_blocks_and_hot_shingles(spark):
         assert got == want
 
 
+def test_groves_leave_out_what_cannot_link(spark):
+    """Texts that share a few rare shingles with the next one are in no grove; families below and above MOST_PAIRED are."""
+    rng = np.random.default_rng(12)
+    rows = [(k, f"chain{k} a b c d e {prose(700 + k, 90)} chain{k + 1} a b c d e") for k in range(60)]
+    for f, many in enumerate((2, jaccard.MOST_PAIRED, jaccard.MOST_PAIRED + 1, 40)):
+        base = prose(900 + f, 150).split()
+        for k in range(many):
+            own = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                own[rng.integers(0, len(own))] = f"other{k}"
+            rows.append((1000 * (f + 1) + k, " ".join(own[: 150 - int(rng.integers(0, 20))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.profile(docs, 80, *jaccard.sketch(docs))
+    assert {r["node"] for r in jaccard.groves(found, docs.select(F.col("doc_id").alias("node")), 80).collect()}.isdisjoint(range(60))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
+def test_folded_counts_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 53, n).astype(np.uint64)) for n in (1, 100, 3000, 4000)] + [np.zeros(0, np.uint64)]
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    counts = [np.frombuffer(c, np.uint8) for c in jaccard.group_counts(np.concatenate(sets), bounds).to_pylist()]
+    assert [int(c.sum()) for c in counts] == [len(x) for x in sets] and len(counts[3]) > len(counts[1])
+    least = len(counts[1])
+    part = jaccard.group_counts(np.sort(np.concatenate([sets[3], sets[1]])), np.array([0, len(sets[3]) + len(sets[1])])).to_pylist()
+    assert (np.frombuffer(part[0], np.uint8).reshape(-1, least).sum(0) >= counts[1]).all()
+
+
 def test_bands_of_sizes_that_link():
     n = np.arange(1, 4000)
     band = jaccard.bands(n, 80)

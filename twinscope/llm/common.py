@@ -116,6 +116,15 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run: it does so when the driver collects its garbage, which
+    may be long after the result was stored."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Runs of at most `rows` rows whose texts hold about `most` bytes; a longer text comes alone."""
     texts = batch.column(column)

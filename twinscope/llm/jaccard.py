@@ -7,7 +7,8 @@ bounding boxes bound all pairs below them, so an R-tree over the points leaves o
 1. A sketch of fixed size counts all shingles of all documents. It orders the shingles, rare ones first; any one order
    would do for exact results, this one keeps common passages from bringing documents together.
 2. Equal sets are one node. Two sets that link share one of the first `n - ceil(t n) + 1` shingles of each in that
-   order, so links lie inside of groves: nodes that such shingles connect, where their sizes can link.
+   order, so links lie inside of groves: nodes that such shingles connect, where their sizes can link. Of a shingle with
+   at most MOST_PAIRED nodes each pair is held against sizes, places and counts of groups before it connects.
 3. Each grove has an R-tree over its points. Pairs that the tree leaves are verified on their whole sets, one by one
    from the first node on; pairs that verified links connect already are left out.
 4. A grove of more than `block_bytes` has a tree for each block of it, and each block also takes the grove's first node
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, dropped, list_array, mixed, packed, run_hashes, slices, stored, tidy, whole, words_of
+from twinscope.llm.common import Bloom, dropped, list_array, mixed, packed, run_hashes, slices, stored, swept, tidy, whole, words_of
 from twinscope.llm.components import components
 
 SIZE = 5
@@ -46,7 +47,10 @@ SLOT_BLOCK = 1 << 18
 BLOCK_BYTES = 8 << 20
 #: Large groves whose block counts are broadcast, 12 bytes each; beyond, they are joined.
 MOST_LARGE = 100_000
-PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, common int"
+#: Nodes of a key whose pairs are all tried; more are chained.
+MOST_PAIRED = 12
+_LINKS = "a long, b long"
+PROFILE = "doc_id long, n long, one long, two long, prefix array<long>, common int, counts binary"
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +138,24 @@ def sketch(docs: DataFrame) -> tuple[int, np.ndarray]:
     return bits, levels
 
 
+def group_counts(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """How many shingles of each set fall in each of its groups, a byte each; nothing, if one has more than a byte holds.
+    There are four to eight shingles for a group, and as many groups as a power of two, so that larger counts can be
+    folded to those of a smaller set."""
+    n = np.diff(bounds)
+    groups = np.int64(1) << np.clip(np.frexp(n)[1] - 3, 5, 16).astype(np.int64)
+    starts = np.append(0, np.cumsum(groups))
+    row = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(starts[row] + ((mixed(h) >> np.uint64(32)).astype(np.int64) & (groups[row] - 1)), minlength=int(starts[-1]))
+    full = np.maximum.reduceat(counts, starts[:-1]) > 255 if len(n) else np.zeros(0, bool)
+    kept = counts[~np.repeat(full, groups)].astype(np.uint8)
+    ends = np.append(0, np.cumsum(np.where(full, 0, groups))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(kept.tobytes())])
+
+
 def profile(docs: DataFrame, percent: int, bits: int, levels: np.ndarray) -> DataFrame:
-    """Per row: the size of its set, the two halves of the set's hash, its prefix, and how many shingles at the end of
-    the prefix are common."""
+    """Per row: the size of its set, the two halves of the set's hash, its prefix, how many shingles at the end of the
+    prefix are common, and counts of groups."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     usual = float(np.median(levels)) if len(levels) else 0.0
     common = usual + 96  # counts 256 times the usual one, or more
@@ -158,8 +177,8 @@ def profile(docs: DataFrame, percent: int, bits: int, levels: np.ndarray) -> Dat
                 at = order[np.repeat(bounds[:-1] - (last - p), p) + np.arange(int(p.sum()))]
                 often = np.append(0, np.cumsum(level[at] >= common))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, last), pa.int64()), pa.array((often[last] - often[last - p]).astype(np.int32))],
-                    names=["doc_id", "n", "one", "two", "prefix", "common"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), list_array(h[at].astype(np.int64), np.append(0, last), pa.int64()), pa.array((often[last] - often[last - p]).astype(np.int32)), group_counts(h, bounds)],
+                    names=["doc_id", "n", "one", "two", "prefix", "common", "counts"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PROFILE)
@@ -278,27 +297,46 @@ def bands(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def chains(keys: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs of nodes that connect all nodes of a key whose sizes can link: nodes in the order of size, each with
-    the next one. Of a common key, which a salt deals to several partitions, the nodes of a size band are connected
-    there, and kind 1 has the key, the band and one of these nodes."""
+    """keys: key, node and n, the set's size times 2**31 and the key's place in the prefix, or less than 0 for a common key.
+
+    kind 0: pairs of nodes of a key with few nodes, if their sizes can link, and if they could with no common shingle
+    before this one. kind 2: pairs that connect all nodes of another key whose sizes can link: nodes in the order of size,
+    each with the next one. Of a common key, which a salt deals to several partitions, the nodes of a size band are
+    connected there, and kind 1 has the key, the band and one of these nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, n = whole(batches, "key", "node", "n")
-        common, n = n < 0, np.abs(n).astype(np.int64)
+        common, n, place = n < 0, np.abs(n) >> 31, np.abs(n) & ((1 << 31) - 1)
         size = np.where(common, bands(np.maximum(n, 1), percent), n)
         order = np.lexsort((size, key))
-        key, node, common, size = key[order], node[order], common[order], size[order]
+        key, node, common, size, place = key[order], node[order], common[order], size[order], place[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        many = np.diff(np.append(begin, len(key)))
+        several = np.repeat((many > 1) | common[begin], many)
+        key, node, common, size, place = key[several], node[several], common[several], size[several], place[several]
+        few = np.repeat(many <= MOST_PAIRED, many)[several] & ~common
+        tried = []
+        for step in range(1, MOST_PAIRED):
+            at = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
+            if not len(at):
+                break
+            x, y = size[at], size[at + step]
+            fits = may_link(np.minimum(x - place[at], y - place[at + step]), x, y, percent)
+            tried.append(np.stack([node[at[fits]], node[at[fits] + step]]))
         same = key[1:] == key[:-1]
-        near = same & np.where(common[1:], size[1:] == size[:-1], 100 * size[:-1] >= percent * size[1:])
+        near = same & ~few[1:] & np.where(common[1:], size[1:] == size[:-1], 100 * size[:-1] >= percent * size[1:])
         at = np.flatnonzero(near)
-        pairs = np.unique(np.stack([node[at], node[at + 1]], 1), axis=0)
+        chained = np.stack([node[at], node[at + 1]])
         tops = np.flatnonzero(common & np.append(True, ~near)[: len(key)])
-        kind = np.append(np.zeros(len(pairs), np.int32), np.ones(len(tops), np.int32))
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(np.append(pairs[:, 0], key[tops])), pa.array(np.append(pairs[:, 1], node[tops])), pa.array(np.append(0 * pairs[:, 0], size[tops]))], names=["kind", "a", "b", "band"]
-        )
-        for k in range(0, out.num_rows, 1 << 17):
-            yield out.slice(k, 1 << 17)
+        parts = [(2, *np.unique(chained, axis=1), np.zeros(0, np.int64)), (1, key[tops], node[tops], size[tops])]
+        if tried:
+            both = np.concatenate(tried, 1)
+            parts.append((0, *np.unique(np.sort(both[:, both[0] != both[1]], 0), axis=1), np.zeros(0, np.int64)))
+        for kind, a, b, band in parts:
+            for k in range(0, len(a), 1 << 17):
+                part = slice(k, k + (1 << 17))
+                x, y = a[part], b[part]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(band[part] if kind == 1 else 0 * x)], names=["kind", "a", "b", "band"])
 
     salted = F.when(F.col("n") < 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
     return keys.repartition("key", salted).select("key", "node", "n").mapInArrow(tidy(run), "kind int, a long, b long, band long")
@@ -318,14 +356,39 @@ def tops_chained(tops: DataFrame) -> DataFrame:
     return tops.repartition("key").mapInArrow(tidy(run), "a long, b long")
 
 
+def may_link_by_counts(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes that the summed minima of their counts leave; of a node of several rows any may do."""
+    of = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            x, y = batch.column("ca").to_pylist(), batch.column("cb").to_pylist()
+            wide = np.array([[len(c) for c in x], [len(c) for c in y]], np.int64).reshape(2, -1)
+            low = np.minimum(n, m)
+            for p, q in {*zip(*wide.tolist(), strict=True)}:
+                if p and q:
+                    at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
+                    least = min(p, q)
+                    u, v = (np.frombuffer(b"".join(c[k] for k in at.tolist()), np.uint8).reshape(len(at), -1, least).sum(1, dtype=np.int64) for c in (x, y))
+                    low[at] = np.minimum(u, v).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(low, n, m, percent)))
+
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+    return met.mapInArrow(tidy(run), _LINKS)
+
+
 def groves(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """node and grove (its smallest node) of all nodes that share a prefix shingle with another of a size that can link."""
     of_nodes = rows.select(F.col("doc_id").alias("node"), "n", "prefix", "common").join(nodes, "node", "left_semi")
-    keys = of_nodes.select("node", "n", (F.size("prefix") - F.col("common")).alias("from"), F.posexplode("prefix").alias("place", "key"))
-    keys = keys.select("node", "key", F.when(F.col("place") >= F.col("from"), -F.col("n")).otherwise(F.col("n")).cast("int").alias("n"))
+    keys = of_nodes.select("node", F.shiftleft("n", 31).alias("n"), (F.size("prefix") - F.col("common")).alias("from"), F.posexplode("prefix").alias("place", "key"))
+    keys = keys.select("node", "key", F.when(F.col("place") >= F.col("from"), -F.col("n")).otherwise(F.col("n") + F.col("place")).alias("n"))
     found = stored(chains(keys, percent), "chains")
+    swept(rows.sparkSession)
+    tried = may_link_by_counts(found.where("kind = 0").select("a", "b").distinct(), rows, percent)
     above = tops_chained(found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "band"))
-    edges = stored(found.where("kind = 0").select("a", "b").union(above).where("a <> b").distinct(), "chain-edges")
+    edges = stored(found.where("kind = 2").select("a", "b").union(tried).union(above).where("a <> b").distinct(), "chain-edges")
+    swept(rows.sparkSession)
     out = stored(components(edges, "a", "b", "groves").withColumnRenamed("component", "grove"), "groves")
     dropped(found)
     dropped(edges)
@@ -376,9 +439,6 @@ def _sets(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(sizes))
 
 
-_LINKS = "a long, b long"
-
-
 def _made(node: np.ndarray, made: list[tuple[int, int]]) -> pa.RecordBatch:
     i = np.array(made, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(node[i[:, 0]]), pa.array(node[i[:, 1]])], names=["a", "b"])
@@ -449,14 +509,20 @@ def cross_links(sets: DataFrame, labels: DataFrame, percent: int, block_bytes: i
 
 def near_duplicates(docs: DataFrame, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    spark = docs.sparkSession
     bits, levels = sketch(docs)
-    rows = stored(profile(docs, percent, bits, levels), "profiles")
+    swept(spark)
+    profiles = stored(profile(docs, percent, bits, levels), "profiles")
+    rows = stored(profiles.select("doc_id", "n", "one", "two"), "sets")
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.select("node").distinct()
-    of_groves = groves(full, nodes, percent)
+    of_groves = groves(profiles.where("n > 0 and doc_id is not null"), nodes, percent)
+    dropped(profiles)
     sets = stored(texts_of(docs, of_groves), "grove-texts")
+    swept(spark)
     links = stored(tree_links(sets, percent, block_bytes), "links")
+    swept(spark)
     labels = components(links, "a", "b")
     more = stored(cross_links(sets, labels, percent, block_bytes), "more")
     # equal sets are one class by the smallest doc_id; a doc_id of several rows belongs to each of their classes
