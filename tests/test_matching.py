@@ -35,3 +35,21 @@ def test_within_distance_of_nothing_and_null(spark):
     one = spark.createDataFrame([(1, 5), (2, None)], "id long, h long")
     assert within_distance(none, one, 3).count() == 0
     assert [tuple(r) for r in within_distance(one, one, 3).collect()] == [(1, 1, 0)]
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_multiplied_rows_are_not_broadcast(spark, tmp_path, streamed):
+    """A small file becomes hundreds of rows for each of its rows; its size says nothing of that."""
+    from twinscope.streaming.mint import near_gallery
+
+    rows = spark.range(50).selectExpr("id", "xxhash64(id) AS h")
+    rows.write.parquet(str(tmp_path / "new"))
+    new = (spark.readStream if streamed else spark.read).schema(rows.schema).parquet(str(tmp_path / "new"))
+    found = near_gallery(new, spark.read.parquet(str(tmp_path / "new")), 14)
+    if not streamed:
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        return
+    run = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert "BroadcastHashJoin" not in run._jsq.explainInternal(False)
+    assert spark.read.parquet(str(tmp_path / "out")).where("a = b and distance = 0").count() == 50

@@ -52,12 +52,14 @@ class Bands:
 
 def within_distance(left: DataFrame, right: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """a, b, distance of all pairs of (id, h) rows at most `most` bits apart. Rows meet where a band of the right one is near
-    the left one's; a pair that meets in several bands is given for its first one, so nothing has to be made distinct."""
+    the left one's; a pair that meets in several bands is given for its first one, so nothing has to be made distinct.
+
+    The left rows are never broadcast: Spark takes them for as large as before they were multiplied."""
     cut = Bands(most, bits)
     asked = left.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(cut.near(F.col("h"))))
     kept = right.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(cut.own(F.col("h"))))
     distance = hamming(F.col("ha"), F.col("hb"))
-    met = asked.join(kept, ["band", "value"]).where((distance <= most) & (cut.first(F.col("ha"), F.col("hb")) == F.col("band")))
+    met = asked.hint("merge").join(kept, ["band", "value"]).where((distance <= most) & (cut.first(F.col("ha"), F.col("hb")) == F.col("band")))
     return met.select("a", "b", distance.alias("distance"))
 
 
