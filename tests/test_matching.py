@@ -53,3 +53,23 @@ def test_multiplied_rows_are_not_broadcast(spark, tmp_path, streamed):
     run.awaitTermination()
     assert "BroadcastHashJoin" not in run._jsq.explainInternal(False)
     assert spark.read.parquet(str(tmp_path / "out")).where("a = b and distance = 0").count() == 50
+
+
+def test_nearest_neighbour_in_blocks(spark, monkeypatch):
+    """Against all pairs, with repeated hashes and ids, ties, nulls, and no plan that pairs row by row."""
+    from twinscope.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 30)
+    rng = random.Random(4)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(50)] + [0, -1]
+    left = [(f"a{k % 90}", rng.choice(hashes) ^ (1 << rng.randrange(63))) for k in range(100)]
+    right = [(f"b{k}", rng.choice(hashes)) for k in range(130)]
+    kind = "id string, h long"
+    found = matching.nearest_neighbour(spark.createDataFrame([*left, ("null", None)], kind), spark.createDataFrame([*right, ("0", None)], kind))
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    want = {}
+    for a, x in left:
+        want[a] = min(want.get(a, (99, "")), *((((x ^ y) & (2**64 - 1)).bit_count(), b) for b, y in right))
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, d) for a, (d, b) in want.items())
+    assert matching.nearest_neighbour(spark.createDataFrame(left, kind), spark.createDataFrame([], kind)).count() == 0
+    assert [r["distance"] for r in matching.nearest_neighbour(spark.createDataFrame(left[:1], kind), spark.createDataFrame([("b", ~left[0][1])], kind), 64).collect()] == []

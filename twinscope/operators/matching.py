@@ -5,10 +5,16 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinscope.functions.fingerprints import hamming
+from twinscope.session import materialised
+
+#: Hashes of a side that are tried at once.
+BLOCK = 16384
 
 
 class Bands:
@@ -64,10 +70,32 @@ def within_distance(left: DataFrame, right: DataFrame, most: int, bits: int = 64
 
 
 def nearest_neighbour(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
-    """a, b, distance of each left row's nearest right row, by trying all in blocks; ties go to the smallest b."""
-    met = left.select(F.col("id").alias("a"), F.col("h").alias("ha")).join(right.select(F.col("id").alias("b"), F.col("h").alias("hb")))
-    best = met.groupBy("a").agg(F.min(F.struct(hamming(F.col("ha"), F.col("hb")).alias("distance"), "b")).alias("x"))
-    out = best.select("a", F.col("x.b").alias("b"), F.col("x.distance").alias("distance"))
+    """a, b, distance of each left row's nearest right row, by trying all in blocks; ties go to the smallest b.
+
+    Equal hashes are tried once. A block of left hashes and one of right hashes give a row for each of the left ones, so
+    no pair is ever written. Null hashes are near to nothing."""
+    asked = materialised(left.where("h is not null").select("h").distinct(), "asked-hashes")
+    kept = materialised(right.where("h is not null").groupBy("h").agg(F.min("id").alias("b")), "kept-hashes")
+    nx, ny = (max(1, -(-rows.count() // BLOCK)) for rows in (asked, kept))
+    block = lambda n: F.pmod(F.xxhash64("h"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = x if len(y) else x.iloc[:0], y.sort_values("b", kind="stable")
+        h, other = x["h"].to_numpy(), y["h"].to_numpy()
+        at, apart = np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
+        for k in range(0, len(h), 64):
+            bits = np.bitwise_count((h[k : k + 64, None] ^ other).view(np.uint64))
+            at[k : k + 64] = near = bits.argmin(1)
+            apart[k : k + 64] = np.take_along_axis(bits, near[:, None], 1)[:, 0]
+        return pd.DataFrame({"h": h, "distance": apart, "b": y["b"].to_numpy()[at]})
+
+    x = asked.withColumn("x", block(nx)).withColumn("y", every(ny)).groupBy("x", "y")
+    y = kept.withColumn("y", block(ny)).withColumn("x", every(nx)).groupBy("x", "y")
+    met = x.cogroup(y).applyInPandas(run, f"h long, distance int, b {dict(right.dtypes)['id']}")
+    best = met.groupBy("h").agg(F.min(F.struct("distance", "b")).alias("x"))
+    found = left.select(F.col("id").alias("a"), "h").join(best, "h").groupBy("a").agg(F.min("x").alias("x"))
+    out = found.select("a", F.col("x.b").alias("b"), F.col("x.distance").alias("distance"))
     return out if most is None else out.where(F.col("distance") < most)
 
 
