@@ -194,6 +194,17 @@ def test_few_vectors_and_repeated_ids(spark, n):
         assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == order
 
 
+def test_parts_give_as_many_rows_whatever_the_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 8))
+    rows = ann.usable(spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(1200)], "vec_id long, embedding array<double>"))
+    quantiser = ann.fit(rows)
+    found = ann.index(rows, quantiser)
+    queries = found.where("vec_id % 20 = 0").select("vec_id", "v")
+    got = [sorted(map(tuple, ann.nearest_by_codes(found, queries, quantiser, 0.45, 10, 100, block).select("query_id", "vec_id").collect())) for block in (7, 5000)]
+    assert got[0] == got[1] and 60 * 10 <= len(got[0]) <= 60 * 10 * ann.PARTS
+
+
 def test_lists_in_blocks():
     first, many = ann.blocks_of(np.array([3, 4, 30, 0, 9, 1, 1]), 10)
     assert first.tolist() == [0, 0, 1, 4, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1, 1]
@@ -625,6 +636,20 @@ def test_sentencepiece_round_trip(docs, none):
 # ---- what they share
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_at_once_and_by_rounds(spark, monkeypatch, few):
+    from twinscope.llm import components as module
+
+    written = []
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "stored", lambda df, label, stored=module.stored: written.append(label) or stored(df, label))
+    edges = [(2 * k, 2 * k + 2) for k in range(40)] + [(5, 3), (3, 5), (7, 7), (-(2**62), 5)]
+    got = {r["node"]: r["component"] for r in module.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    assert got == {2 * k: 0 for k in range(41)} | {5: -(2**62), 3: -(2**62), -(2**62): -(2**62)}
+    assert (len(written) == 2) == bool(few)
+    assert module.components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1060)]

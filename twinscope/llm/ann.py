@@ -1,10 +1,10 @@
 """Approximate nearest neighbours: inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted on at most `sample` vectors, taken by hash; every vector is indexed. The
-index is written by lists, and lists are put together to blocks of bounded size; a list that holds a third of all rows
-is many blocks. A query goes to the blocks that hold one of its `probe` share of nearest lists, and is scored there by
-its asymmetric distance tables against the codes of those lists only. Of all blocks' best, its `rerank` best are
-ranked by the exact inner product of the original vectors in double precision, so as many are ranked at every size of
+index is dealt by hash to PARTS parts, however large it is, so a list that holds a third of all rows is in all of them.
+A query goes to every part, which is read list by list in blocks of bounded size, and is scored by its asymmetric
+distance tables against the codes of its `probe` share of nearest lists only. A part keeps and gives a query's `rerank`
+best, so what is given grows with the queries only. Of all parts' best, its `rerank` best are ranked by the exact inner product of the original vectors in double precision, so as many are ranked at every size of
 the table.
 
 Vectors that are null, zero, of another than the most common length, or that hold null or non-finite components take
@@ -19,11 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import stored
+from twinscope.llm.common import stored, tidy
 
+#: Parts of the index, whatever its size.
+PARTS = 8
+#: Queries that go through a part together, at most.
+QUERY_ROWS = 2048
 FOUND = "query_id long, vec_id long, uid long, near float"
 
 
@@ -124,6 +129,107 @@ def blocks_of(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarra
     return first, many
 
 
+def nearest_by_codes(found: DataFrame, queries: DataFrame, quantiser: Quantiser, probe: float, rerank: int, least: int, block_rows: int) -> DataFrame:
+    """The `rerank` best of each part of the index for each query, by distance tables."""
+    spark = found.sparkSession
+    shared = spark.sparkContext.broadcast(quantiser)
+    sizes = np.zeros(len(quantiser.coarse), np.int64)
+    for r in found.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
+        sizes[r["list"]] = r["n"]
+    query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    none = F.lit(None)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    indexed = found.select("vec_id", "uid", "list", "codes", none.cast("array<double>").alias("v"), F.pmod(F.xxhash64("uid"), F.lit(PARTS)).cast("int").alias("part"), every(query_blocks).alias("qb"))
+    asked = queries.select("vec_id", none.cast("long").alias("uid"), F.lit(-1).alias("list"), none.cast("binary").alias("codes"), "v", every(PARTS).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"))
+    put = asked.unionByName(indexed).repartition("qb", "part").sortWithinPartitions("qb", "part", "list", "vec_id", "uid")
+
+    def scored(q: np.ndarray, q_ids: np.ndarray, held: list[pa.RecordBatch], best: list[tuple[np.ndarray, ...]]) -> None:
+        """Puts the rows of `held` to the best of each 256 queries."""
+        ids, uids, home = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("vec_id", "uid", "list"))
+        codes = np.frombuffer(b"".join(c for x in held for c in x.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
+        for at, a in enumerate(range(0, len(q), 256)):
+            best[at] = _merged(best[at], ids, uids, _block(shared.value, q[a : a + 256], q_ids[a : a + 256], ids, home, codes, cuts, sizes, probe, rerank, least), rerank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asking, held, rows, q = None, [], [], 0, None
+        best: list[tuple[np.ndarray, ...]] = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if q is not None:
+                if held:
+                    scored(*q, held, best)
+                for at, (row, *cols) in enumerate(best):
+                    yield pa.RecordBatch.from_arrays([pa.array(q[1][256 * at + row]), *map(pa.array, cols)], names=["query_id", "vec_id", "uid", "near"])
+
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in ("qb", "part")], 1)
+            index_row = batch.column("list").to_numpy() >= 0
+            mark = np.column_stack([where, index_row])
+            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(mark)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                piece = batch.slice(x, y - x)
+                if key != (now := tuple(where[x].tolist())):
+                    yield from ended()
+                    key, asking, held, rows, q, best = now, [], [], 0, None, []
+                if not index_row[x]:
+                    asking.append(piece)
+                    continue
+                if asking:
+                    q = (np.array([v for p in asking for v in p.column("v").to_pylist()]), np.concatenate([p.column("vec_id").to_numpy() for p in asking]))
+                    best = [_NOTHING] * -(-len(q[0]) // 256)
+                    asking = []
+                if q is None:  # nothing asks here
+                    continue
+                held.append(piece)
+                rows += piece.num_rows
+                if rows >= block_rows:
+                    scored(*q, held, best)
+                    held, rows = [], 0
+        yield from ended()
+
+    return put.mapInArrow(tidy(run), FOUND)
+
+
+_NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def _merged(best: tuple[np.ndarray, ...], ids: np.ndarray, uids: np.ndarray, got: list[tuple[np.ndarray, ...]], rerank: int) -> tuple[np.ndarray, ...]:
+    """The `rerank` best of each query (row, id, uid, value), of those so far and new ones (row, place, value)."""
+    row, col, value = (np.concatenate(c) for c in zip(*got, strict=True)) if got else (_NOTHING[0], _NOTHING[0], _NOTHING[3])
+    row, id_, uid, value = (np.concatenate(c) for c in zip(best, (row, ids[col], uids[col], value.astype(np.float32)), strict=True))
+    order = np.lexsort((uid, id_, -value, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < rerank
+    return row[kept], *(x[order][kept] for x in (id_, uid, value))
+
+
+def _block(quantiser: Quantiser, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, home: np.ndarray, codes: np.ndarray, cuts: list[int], sizes: np.ndarray, probe: float, rerank: int, least: int) -> list[tuple[np.ndarray, ...]]:
+    """query, place in the block and value of the `rerank` best of each list that a query probes."""
+    tables = quantiser.tables(q)
+    marks, near = quantiser.probed(q, sizes, probe, least)
+    got: list[tuple[np.ndarray, ...]] = []
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        mine = np.flatnonzero(marks[:, home[x]])
+        if not len(mine):
+            continue
+        score = np.repeat(near[mine, home[x], None], y - x, 1)
+        for p in range(codes.shape[1]):
+            score += tables[mine, p][:, codes[x:y, p]]
+        score[q_ids[mine, None] == ids[None, x:y]] = -np.inf
+        if y - x > rerank:
+            top = np.argpartition(-score, rerank, 1)[:, :rerank]
+            row, col = np.repeat(mine, rerank), top.ravel()
+            value = np.take_along_axis(score, top, 1).ravel()
+        else:
+            row, col, value = np.repeat(mine, y - x), np.tile(np.arange(y - x), len(mine)), score.ravel()
+        on = value > -np.inf
+        got.append((row[on], x + col[on], value[on]))
+    return got
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.45, rerank: int = 100, least: int = 2000, block_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -131,72 +237,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.45
     quantiser = fit(rows)
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(quantiser)
     found = index(rows, quantiser)
-    sizes = np.zeros(len(quantiser.coarse), np.int64)
-    for r in found.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
-        sizes[r["list"]] = r["n"]
-    first, many = blocks_of(sizes, block_rows)
-    place = spark.createDataFrame([(i, int(f), int(m)) for i, (f, m) in enumerate(zip(first, many, strict=True))], "list int, first long, many long")
     queries = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("uid", "v")).alias("x")).select("vec_id", "x.v")
-    query_blocks = max(1, -(-queries.count() // block_rows))
-    asking = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    dealt = found.join(F.broadcast(place), "list").select("vec_id", "uid", "list", "codes", (F.col("first") + F.pmod(F.xxhash64("uid"), F.col("many"))).alias("block"), asking.alias("qb"))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts = np.zeros(int((first + many).max()) + 1, np.int64)
-        for batch in batches:
-            for a in range(0, len(batch), 512):
-                part = batch.iloc[a : a + 512]
-                marks, _ = shared.value.probed(np.array(part["v"].tolist()), sizes, probe, max(least, 2 * (k + 1)))
-                at = np.zeros((len(part), len(starts)), bool)
-                for i in range(len(sizes)):
-                    at[:, first[i] : first[i] + many[i]] |= marks[:, i : i + 1]
-                q, block = np.nonzero(at)
-                yield part.iloc[q].assign(block=block)[["vec_id", "v", "qb", "block"]]
-
-    asked = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).mapInPandas(route, "vec_id long, v array<double>, qb int, block long")
-
-    def run(have: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(have) and len(wanted):
-            have = have.sort_values(["list", "vec_id", "uid"], kind="stable")
-            ids, uids, home = (have[c].to_numpy() for c in ("vec_id", "uid", "list"))
-            codes = np.frombuffer(b"".join(have["codes"]), np.uint8).reshape(len(ids), -1)
-            cuts = [0, *(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]
-            for a in range(0, len(wanted), 256):
-                part = wanted.iloc[a : a + 256]
-                q, q_ids = np.array(part["v"].tolist()), part["vec_id"].to_numpy()
-                tables = shared.value.tables(q)
-                marks, near = shared.value.probed(q, sizes, probe, max(least, 2 * (k + 1)))
-                got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    mine = np.flatnonzero(marks[:, home[x]])
-                    if not len(mine):
-                        continue
-                    score = np.repeat(near[mine, home[x], None], y - x, 1)
-                    for p in range(codes.shape[1]):
-                        score += tables[mine, p][:, codes[x:y, p]]
-                    score[q_ids[mine, None] == ids[None, x:y]] = -np.inf
-                    if y - x > rerank:
-                        top = np.argpartition(-score, rerank, 1)[:, :rerank]
-                        rows_, cols = np.repeat(mine, rerank), top.ravel()
-                        value = np.take_along_axis(score, top, 1).ravel()
-                    else:
-                        rows_, cols, value = np.repeat(mine, y - x), np.tile(np.arange(y - x), len(mine)), score.ravel()
-                    on = value > -np.inf
-                    got.append((rows_[on], x + cols[on], value[on]))
-                if got:
-                    row, col, value = (np.concatenate(c) for c in zip(*got, strict=True))
-                    order = np.lexsort((uids[col], ids[col], -value, row))
-                    row, col, value = row[order], col[order], value[order]
-                    kept = np.arange(len(row)) - np.searchsorted(row, row) < rerank
-                    out.append((q_ids[row[kept]], ids[col[kept]], uids[col[kept]], value[kept]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "uid", "near"), cols, strict=True)))
-
-    key = ["block", "qb"]
-    best = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, FOUND)
+    best = nearest_by_codes(found, queries, quantiser, probe, rerank, max(least, 2 * (k + 1)), block_rows)
     near = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id", "uid")
     best = best.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= rerank).select("query_id", "uid")
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0).cast("double"), lambda a, x: a + x)
