@@ -1,11 +1,18 @@
-"""Connected components by large-star and small-star steps on DataFrames."""
+"""Connected components by large-star and small-star steps on DataFrames; few edges are joined in one task instead."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import stored
+from twinscope.llm.common import stored, tidy, whole
+
+#: Edges that one task takes, 16 bytes each; the rounds of more edges cost more than that.
+FEW = 1 << 17
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,9 +28,27 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v = whole(batches, "u", "v")
+    nodes, at = np.unique(np.append(u, v), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(least, np.maximum(u, v), np.minimum(u, v))
+        while (least != (up := least[least])).any():
+            least = up
+        u, v = least[u], least[v]
+        u, v = u[u != v], v[u != v]
+    for k in range(0, len(nodes), 1 << 17):
+        part = slice(k, k + (1 << 17))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[least[part]])], names=["node", "component"])
+
+
 def components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:
     """node and component (the smallest node it reaches) of every node of an edge. Each round is written to the shared folder."""
     now = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), label)
+    if now.count() <= FEW:
+        return stored(now.coalesce(1).mapInArrow(tidy(_at_once), "node long, component long"), label)
     seen = None
     while True:
         now = stored(_small(_large(now)), label)
