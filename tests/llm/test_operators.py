@@ -474,6 +474,44 @@ def test_groves_leave_out_what_cannot_link(spark):
     assert got == brute_components(rows)
 
 
+def test_large_groves_are_split_before_texts_travel(spark, monkeypatch):
+    """A sketch too small to tell shingles apart chains all texts with a common passage to one grove; of it only families travel."""
+    passage, sent, texts_of = prose(40, 130), [], jaccard.texts_of
+    rows = [(k, passage + " " + prose(1200 + k, 150 + k % 40)) for k in range(90)]
+    rows += [(200 + k, rows[7 * (k // 3)][1] + f" w{k} x y z") for k in range(30)]
+    rows += [(300 + k, prose(50, 3000 + 300 * (k % 2)) + f" v{k} x y z") for k in range(4)]
+    monkeypatch.setattr(jaccard, "MOST_BITS", 5)
+    monkeypatch.setattr(jaccard, "COUNTS_BLOCK", 20_000)
+    monkeypatch.setattr(jaccard, "texts_of", lambda docs, nodes: sent.append({r["node"] for r in nodes.collect()}) or texts_of(docs, nodes))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    for block in (20_000, 1 << 20):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, block_bytes=block).collect()}
+        assert got == want
+    families = {k for k, (_, c) in want.items() if [x[1] for x in want.values()].count(c) > 1}
+    assert sent[0] == families and sent[1] > families
+
+
+def test_pairs_near_by_counts():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 700, 300).tolist() + [9000, 9100, 11000, 9050]
+    sets = [np.unique(rng.integers(0, 1 << 53, n).astype(np.uint64)) for n in sizes]
+    for k in range(0, 300, 3):
+        sets[k + 1] = np.unique(np.append(sets[k][len(sets[k]) // 10 :], sets[k + 1][:2]))
+    sets[-1] = np.unique(np.append(sets[-3], sets[-1][:200]))
+    bounds = np.append(0, np.cumsum([len(x) for x in sets]))
+    n, counts = np.diff(bounds), jaccard.group_counts(np.concatenate(sets), bounds).to_pylist()
+    counts[5] = b""
+    i, j = np.triu_indices(len(n), 1)
+    low = jaccard.most_shared(n[i], n[j], [counts[k] for k in i], [counts[k] for k in j])
+    fits = jaccard.may_link(low, n[i], n[j], 80)
+    want = set(zip(i[fits].tolist(), j[fits].tolist(), strict=True))
+    side = rng.integers(0, 2, len(n))
+    for s in (None, side):
+        got = [(min(a, b), max(a, b)) for x, y in jaccard.near_by_counts(n, counts, 80, s) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and {p for p in want if s is None or s[p[0]] != s[p[1]]} == set(got)
+
+
 def test_folded_counts_bound_the_overlap():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 53, n).astype(np.uint64)) for n in (1, 100, 3000, 4000)] + [np.zeros(0, np.uint64)]

@@ -28,8 +28,8 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    u, v = whole(batches, "u", "v")
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, and the smallest node that each reaches."""
     nodes, at = np.unique(np.append(u, v), return_inverse=True)
     u, v = at[: len(u)], at[len(u) :]
     least = np.arange(len(nodes))
@@ -39,9 +39,14 @@ def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = up
         u, v = least[u], least[v]
         u, v = u[u != v], v[u != v]
+    return nodes, nodes[least]
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nodes, least = least_reached(*whole(batches, "u", "v"))
     for k in range(0, len(nodes), 1 << 17):
         part = slice(k, k + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[least[part]])], names=["node", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(least[part])], names=["node", "component"])
 
 
 def components(edges: DataFrame, a: str, b: str, label: str = "components") -> DataFrame:

@@ -8,7 +8,8 @@ bounding boxes bound all pairs below them, so an R-tree over the points leaves o
    would do for exact results, this one keeps common passages from bringing documents together.
 2. Equal sets are one node. Two sets that link share one of the first `n - ceil(t n) + 1` shingles of each in that
    order, so links lie inside of groves: nodes that such shingles connect, where their sizes can link. Of a shingle with
-   at most MOST_PAIRED nodes each pair is held against sizes, places and counts of groups before it connects.
+   at most MOST_PAIRED nodes each pair is held against sizes, places and counts of groups before it connects. Groves that
+   would not fit in a block are taken apart again: R-trees over their counts of groups leave the pairs that connect.
 3. Each grove has an R-tree over its points. Pairs that the tree leaves are verified on their whole sets, one by one
    from the first node on; pairs that verified links connect already are left out.
 4. A grove of more than `block_bytes` has a tree for each block of it, and each block also takes the grove's first node
@@ -25,6 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import Bloom, dropped, list_array, mixed, packed, run_hashes, slices, stored, swept, tidy, whole, words_of
-from twinscope.llm.components import components
+from twinscope.llm.common import Bloom, dropped, list_array, member, mixed, packed, run_hashes, slices, stored, swept, tidy, whole, words_of
+from twinscope.llm.components import components, least_reached
 
 SIZE = 5
 LOW = np.uint64((1 << 53) - 1)
@@ -45,6 +47,8 @@ MOST_BITS = 24
 SLOT_BLOCK = 1 << 18
 #: Texts of a grove whose sets one tree holds, in bytes (and 512 for each).
 BLOCK_BYTES = 8 << 20
+#: Counts of groups that one tree holds of a large grove, in bytes (and 512 for each).
+COUNTS_BLOCK = 1 << 20
 #: Large groves whose block counts are broadcast, 12 bytes each; beyond, they are joined.
 MOST_LARGE = 100_000
 #: Nodes of a key whose pairs are all tried; more are chained.
@@ -356,6 +360,23 @@ def tops_chained(tops: DataFrame) -> DataFrame:
     return tops.repartition("key").mapInArrow(tidy(run), "a long, b long")
 
 
+def folded(counts: list[bytes], groups: int) -> np.ndarray:
+    """Counts of as many groups or more, all of one length, folded to so many groups."""
+    return np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), -1, groups).sum(1, dtype=np.int32)
+
+
+def most_shared(n: np.ndarray, m: np.ndarray, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """A bound of the overlap of each pair, from their sizes and counts of groups."""
+    wide = np.array([[len(c) for c in x], [len(c) for c in y]], np.int64).reshape(2, -1)
+    low = np.minimum(n, m)
+    for p, q in {*zip(*wide.tolist(), strict=True)}:
+        if p and q:
+            at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
+            u, v = (folded([c[k] for k in at.tolist()], min(p, q)) for c in (x, y))
+            low[at] = np.minimum(u, v).sum(1)
+    return low
+
+
 def may_link_by_counts(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs of nodes that the summed minima of their counts leave; of a node of several rows any may do."""
     of = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("counts").alias(f"c{c}"))
@@ -363,21 +384,96 @@ def may_link_by_counts(pairs: DataFrame, rows: DataFrame, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            x, y = batch.column("ca").to_pylist(), batch.column("cb").to_pylist()
-            wide = np.array([[len(c) for c in x], [len(c) for c in y]], np.int64).reshape(2, -1)
-            low = np.minimum(n, m)
-            for p, q in {*zip(*wide.tolist(), strict=True)}:
-                if p and q:
-                    at = np.flatnonzero((wide[0] == p) & (wide[1] == q))
-                    least = min(p, q)
-                    u, v = (np.frombuffer(b"".join(c[k] for k in at.tolist()), np.uint8).reshape(len(at), -1, least).sum(1, dtype=np.int64) for c in (x, y))
-                    low[at] = np.minimum(u, v).sum(1)
+            low = most_shared(n, m, batch.column("ca").to_pylist(), batch.column("cb").to_pylist())
             yield batch.select(["a", "b"]).filter(pa.array(may_link(low, n, m, percent)))
 
     met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
     return met.mapInArrow(tidy(run), _LINKS)
 
 
+def near_by_counts(n: np.ndarray, counts: list[bytes], percent: int, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose sizes and counts of groups leave that they link; side: 0 and 1, only pairs across are given.
+
+    Each pair is held against each other by the fewer groups of the two, in a tree of 1024 groups at most."""
+    wide = np.array([len(c) for c in counts], np.int64)
+    for i in np.flatnonzero(wide == 0).tolist():  # no bound
+        near = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((wide > 0) | (np.arange(len(n)) > i))
+        near = np.flatnonzero(near if side is None else near & (side != side[i]))
+        yield np.full(len(near), i), near
+    for groups in np.unique(wide[wide > 0]).tolist():
+        trees = []
+        for own in (0, 1):
+            rows = np.flatnonzero((wide >= groups) & (side == own) if side is not None else wide >= groups)
+            if not len(rows):
+                break
+            least = min(groups, 1024)
+            points = np.zeros((len(rows), least), np.int32)
+            for width in np.unique(wide[rows]).tolist():
+                at = np.flatnonzero(wide[rows] == width)
+                points[at] = folded([counts[k] for k in rows[at].tolist()], least)
+            trees.append((rows, CountTree(points.astype(np.uint16) if points.max() < 1 << 16 else points, n[rows])))
+            if side is None:
+                trees *= 2
+                break
+        if len(trees) < 2:
+            continue
+        (left, mine), (right, theirs) = trees
+        for a, b in mine.pairs(theirs, percent):
+            a, b = left[a], right[b]
+            due = (wide[a] == groups) | (wide[b] == groups)
+            a, b = a[due], b[due]
+            step = max(1, (1 << 23) // groups)
+            for k in range(0, len(a), step) if groups > 1024 else ():
+                x, y = a[k : k + step], b[k : k + step]
+                fits = may_link(most_shared(n[x], n[y], [counts[i] for i in x.tolist()], [counts[i] for i in y.tolist()]), n[x], n[y], percent)
+                yield x[fits], y[fits]
+            if groups <= 1024:
+                yield a, b
+
+
+def split_by_counts(found: DataFrame, rows: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Groves again; those with sets of about block_bytes of text or more are connected anew, by the pairs that counts of
+    groups leave. A pair is tried where the smaller size has its band. Counts travel as often as a band of a grove has
+    blocks; they are some thirtieth of the texts."""
+    spark = rows.sparkSession
+    sizes = rows.select(F.col("doc_id").alias("node"), "n").join(found, "node").groupBy("grove").agg(F.sum(8 * F.col("n") + 512).alias("total"))
+    large = stored(sizes.where(F.col("total") > block_bytes).select("grove"), "groves-to-split")
+    if large.isEmpty():
+        return found
+    nodes = stored(found.join(large, "grove"), "nodes-to-split")
+    hit = member(spark, Bloom.of(nodes.select(F.xxhash64("node").alias("h"))))
+    held = rows.select(F.col("doc_id").alias("node"), "n", "counts", hit(F.xxhash64("doc_id")).alias("hit")).where("hit").drop("hit").join(nodes, "node")
+    band = F.floor(F.log("n") / F.lit(math.log(100 / min(percent, 99))) * F.lit(1 - 1e-9)).cast("long")
+    held = stored(held.withColumn("band", band), "counts-to-split")
+    cells = held.withColumn("cell", F.explode(F.array("band", F.col("band") - 1)))
+    weights = cells.groupBy("grove", "cell").agg(F.sum(F.octet_length("counts") + 512).alias("total"), F.min("band").alias("least"), F.count("*").alias("c"))
+    weights = weights.where("least = cell and c > 1").select("grove", "cell", F.ceil(F.col("total") / COUNTS_BLOCK).cast("int").alias("blocks"))
+    put = cells.join(weights, ["grove", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    put = put.select("grove", "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "counts", "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches, "grove", "cell", "x", "y"):
+            node, n, own, above = (part.column(c).to_numpy() for c in ("node", "n", "own", "band"))
+            above = above > part.column("cell")[0].as_py()
+            x, y = part.column("x")[0].as_py(), part.column("y")[0].as_py()
+            made = [np.zeros((2, 0), np.int64)]
+            for a, b in near_by_counts(n, part.column("counts").to_pylist(), percent, None if x == y else (own == y).astype(np.int64)):
+                keep = ~(above[a] & above[b]) & (node[a] != node[b])
+                made.append(np.stack([node[a[keep]], node[b[keep]]]))
+                if sum(m.shape[1] for m in made) > 1 << 20:
+                    made = [np.stack(least_reached(*np.concatenate(made, 1)))]
+            nodes, least = least_reached(*np.concatenate(made, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != least]), pa.array(least[nodes != least])], names=["a", "b"])
+
+    by = ("grove", "cell", "x", "y")
+    edges = stored(put.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(run), _LINKS).distinct(), "counts-edges")
+    swept(spark)
+    dropped(held)
+    again = components(edges, "a", "b", "groves").withColumnRenamed("component", "grove")
+    return stored(found.join(large, "grove", "left_anti").select("node", "grove").union(again.select("node", "grove")), "groves")
+
+
 def groves(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """node and grove (its smallest node) of all nodes that share a prefix shingle with another of a size that can link."""
     of_nodes = rows.select(F.col("doc_id").alias("node"), "n", "prefix", "common").join(nodes, "node", "left_semi")
@@ -517,7 +613,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block_bytes: int = BLOCK
     full = rows.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.select("node").distinct()
-    of_groves = groves(profiles.where("n > 0 and doc_id is not null"), nodes, percent)
+    held = profiles.where("n > 0 and doc_id is not null")
+    of_groves = split_by_counts(groves(held, nodes, percent), held, percent, block_bytes)
     dropped(profiles)
     sets = stored(texts_of(docs, of_groves), "grove-texts")
     swept(spark)
