@@ -194,6 +194,37 @@ def test_few_vectors_and_repeated_ids(spark, n):
         assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == order
 
 
+@pytest.mark.parametrize("kind", ["offset", "copies", "near copies", "wide", "large", "small", "overflow"])
+def test_neighbours_are_those_of_brute_force(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 300 if kind == "wide" else 16))
+    x = {"offset": x + 1e4, "large": x * 1e140, "small": x * 1e-90, "overflow": np.abs(x) * 10.0 ** rng.integers(140, 160, (900, 1))}.get(kind, x)
+    if "copies" in kind:
+        x[300:] = x[300] + (1e-5 * x[300:] if kind == "near copies" else 0)
+    ids = rng.permutation(900)
+    got = ann.search(spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>"), least=50).toPandas()
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = np.zeros(900)
+        with np.errstate(over="ignore"):
+            for i in range(x.shape[1]):
+                score += x[q, i] * x[:, i]
+        order = [i for i in np.lexsort((ids, -score)) if i != q][:20]
+        part = got[got["query_id"] == ids[q]].sort_values("rank")
+        assert part["vec_id"].tolist() == ids[order].tolist() and part["score"].tolist() == score[order].tolist()
+
+
+def test_blocks_of_the_exact_check_change_nothing(spark):
+    rng = np.random.default_rng(12)
+    rows = ann.usable(spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(size=(700, 8)).tolist())], "vec_id long, embedding array<double>"))
+    quantiser = ann.fit(rows)
+    found = ann.index(rows, quantiser)
+    asked = found.where("vec_id % 20 = 0").selectExpr("vec_id", "v", "cast(null as double) AS least")
+    got = [ann.checked(found, asked, quantiser, 5, size) for size in (64 * 20, 1 << 25)]
+    best = [sorted((r["query_id"], -r["score"], r["vec_id"]) for r in g.collect()) for g in got]
+    first = [[[r for r in b if r[0] == q][:5] for q in range(0, 700, 20)] for b in best]
+    assert first[0] == first[1] and len(best[1]) <= 35 * 5 * ann.PARTS
+
+
 def test_parts_give_as_many_rows_whatever_the_blocks(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1200, 8))

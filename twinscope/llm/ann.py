@@ -7,6 +7,12 @@ distance tables against the codes of its `probe` share of nearest lists only. A
 best, so what is given grows with the queries only. Of all parts' best, its `rerank` best are ranked by the exact inner product of the original vectors in double precision, so as many are ranked at every size of
 the table.
 
+Codes alone miss neighbours where rows differ by less than a code can tell (copies, near copies, a common offset) or have
+many components. So an exact check follows: each row has the distance to what its codes stand for, which bounds
+its inner product with any query; every row whose bound reaches the query's k-th score so far is multiplied in double
+precision. What is found is all that brute force finds, in the same order. Codes are of rows less the sample's median
+and by its scale, so that no offset or size of the numbers wears them out; where a bound overflows, the row is multiplied.
+
 Vectors that are null, zero, of another than the most common length, or that hold null or non-finite components take
 no part. Ties go to the smaller vec_id. Rows that share a vec_id are candidates each, but never of a query with that
 vec_id; such rows ask once, by the first of their vectors. A query probes more lists until these hold
@@ -29,6 +35,8 @@ from twinscope.llm.common import stored, tidy
 PARTS = 8
 #: Queries that go through a part together, at most.
 QUERY_ROWS = 2048
+#: Bytes of vectors that the exact check holds at a time.
+CHECK_BYTES = 1 << 25
 FOUND = "query_id long, vec_id long, uid long, near float"
 
 
@@ -57,10 +65,30 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin((centres * centres).sum(1) - 2 * part @ centres.T, axis=1) for part in np.array_split(x, max(1, len(x) // 4096))])
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow of squares."""
+    top = np.abs(x).max(1, initial=0.0)
+    with np.errstate(over="ignore"):
+        return top * np.sqrt(((x / np.where(top > 0, top, 1)[:, None]) ** 2).sum(1))
+
+
+def directions(q: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    q = q / np.abs(q).max(1, keepdims=True)
+    return q / norms(q)[:, None]
+
+
 class Quantiser:
     def __init__(self, sample: np.ndarray, lists: int, width: int, seed: int = 0):
         """width: components in a subspace, each coded in a byte."""
         rng = np.random.default_rng(seed)
+        half = (len(sample) - 1) // 2
+        self.middle = np.partition(sample, half, axis=0)[half]
+        with np.errstate(over="ignore"):
+            far = np.sort(norms(sample - self.middle)) / np.sqrt(sample.shape[1])
+        far = far[(far > 0) & (far < 1e300)]
+        self.scale = float(far[len(far) // 2]) if len(far) else 1.0
+        sample = self.scaled(sample)
         self.dim, self.width = sample.shape[1], width
         self.parts = -(-self.dim // width)
         self.coarse = kmeans(sample, lists, 8, rng)
@@ -75,11 +103,32 @@ class Quantiser:
         padded[:, : self.dim] = x
         return padded.reshape(len(x), self.parts, self.width)
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip((x - self.middle) / self.scale, -1e9, 1e9).astype(np.float32)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.scaled(x)
         home = nearest(x, self.coarse)
         rest = self.split(x - self.coarse[home])
         return home, np.stack([nearest(rest[:, p], self.books[p]) for p in range(self.parts)], 1).astype(np.uint8)
 
+    def decoded(self, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The scaled vectors that the codes stand for."""
+        rest = np.stack([self.books[p][codes[:, p]] for p in range(self.parts)], 1).reshape(len(codes), -1)[:, : self.dim]
+        return self.coarse[home] + rest
+
+    def off(self, x: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each row, over the scale: no inner product with a row of length one is farther than this from that of its
+        codes, rounding included. Infinite where it can't be told."""
+        stands = self.decoded(home, codes).astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = norms(x - self.middle - self.scale * stands) / self.scale * (1 + 1e-6)
+            single = (self.dim + 8) * 2.0**-23 * norms(stands)
+            double = (self.dim + 8) * 2.0**-51 * (norms(x) / self.scale + norms(self.middle[None]) / self.scale)
+            out = gap + single + double
+        return np.where(out < 1e37, out, np.inf)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and subspace the inner products with the 256 codes."""
         return np.einsum("qpw,pcw->qpc", self.split(q), self.books, dtype=np.float32)
@@ -99,20 +148,21 @@ class Quantiser:
 def fit(rows: DataFrame, lists: int = 1024, width: int = 2, sample: int = 10_000) -> Quantiser | None:
     """A list for ten sampled vectors, `lists` at most."""
     found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id", kind="stable")
-    return Quantiser(np.array(found["v"].tolist(), np.float32), min(lists, max(1, len(found) // 10)), width) if len(found) else None
+    return Quantiser(np.array(found["v"].tolist(), np.float64), min(lists, max(1, len(found) // 10)), width) if len(found) else None
 
 
 def index(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
-    """vec_id, uid (a number of its own), v, list and codes of every row, written to the shared folder."""
+    """vec_id, uid (a number of its own), v, list, codes and how far these are off, of every row, written to the shared folder."""
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                home, codes = shared.value.encode(np.array(batch["v"].tolist(), np.float32))
-                yield batch.assign(list=home.astype(np.int32), codes=[c.tobytes() for c in codes])
+                x = np.array(batch["v"].tolist(), np.float64)
+                home, codes = shared.value.encode(x)
+                yield batch.assign(list=home.astype(np.int32), codes=[c.tobytes() for c in codes], off=shared.value.off(x, home, codes))
 
-    return stored(rows.mapInPandas(run, "vec_id long, v array<double>, list int, codes binary").withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    return stored(rows.mapInPandas(run, "vec_id long, v array<double>, list int, codes binary, off double").withColumn("uid", F.monotonically_increasing_id()), "vectors")
 
 
 def blocks_of(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +228,7 @@ def nearest_by_codes(found: DataFrame, queries: DataFrame, quantiser: Quantiser,
                     asking.append(piece)
                     continue
                 if asking:
-                    q = (np.array([v for p in asking for v in p.column("v").to_pylist()]), np.concatenate([p.column("vec_id").to_numpy() for p in asking]))
+                    q = (directions(np.array([v for p in asking for v in p.column("v").to_pylist()])).astype(np.float32), np.concatenate([p.column("vec_id").to_numpy() for p in asking]))
                     best = [_NOTHING] * -(-len(q[0]) // 256)
                     asking = []
                 if q is None:  # nothing asks here
@@ -230,8 +280,97 @@ def _block(quantiser: Quantiser, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarr
     return got
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.45, rerank: int = 100, least: int = 2000, block_rows: int = 8192) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
+def products(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """q[row] times x[col], added up in the order of the components."""
+    out = np.zeros(len(row))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a in range(0, len(row), 16384):
+            r, c = row[a : a + 16384], col[a : a + 16384]
+            part = q[r] * x[c]
+            for i in range(part.shape[1]):
+                out[a : a + 16384] += part[:, i]
+    return out
+
+
+def reaching(quantiser: Quantiser, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """What the inner product of a query's direction with a row's codes and how far they are off must add up to, for the
+    row to score `least` with the query; minus infinity where doubles could overflow or vanish."""
+    size = norms(q)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        unit = size * quantiser.scale
+        base = q @ quantiser.middle
+        slack = (quantiser.dim + 8) * 2.0**-50 * (np.abs(least) + np.abs(base) + size * norms(quantiser.middle[None]))
+        t = (least - base - slack) / unit
+        t -= 4e-7 * np.abs(t)
+    safe = (unit > 1e-250) & (unit < 1e250) & (size > 1e-250) & (size < 1e250) & (np.abs(base) < 1e290) & (np.abs(least) < 1e290) & (np.abs(t) < 1e37)
+    return np.where(safe, t, -np.inf).astype(np.float32)
+
+
+def checked(found: DataFrame, asked: DataFrame, quantiser: Quantiser, k: int, check_bytes: int = CHECK_BYTES) -> DataFrame:
+    """query_id, vec_id, uid, score: all rows that may be among the k nearest of a query. asked: vec_id, v and least, a
+    score that k rows reach (null: none is known).
+
+    Each block of rows is held once and all queries go by, so rows are shuffled once, and queries once for each block."""
+    spark = found.sparkSession
+    shared = spark.sparkContext.broadcast(quantiser)
+    blocks = max(PARTS, -(-found.count() * quantiser.dim * 8 // check_bytes))
+    none = lambda t: F.lit(None).cast(t)
+    rows = found.select(F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "vec_id", "uid", "v", "list", "codes", F.col("off").alias("bound"))
+    queries = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(True).alias("asks"), "vec_id", none("long").alias("uid"), "v", none("int").alias("list"), none("binary").alias("codes"), F.coalesce("least", F.lit(float("-inf"))).alias("bound"))
+    put = rows.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    vectors = lambda batch: batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+    plain = lambda batch, c: batch.column(c).to_numpy(zero_copy_only=False)
+
+    def scored(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        ids, uids, x, stands, off = held
+        towards, t = directions(q).astype(np.float32), reaching(shared.value, q, least)[:, None]
+        best = (*_NOTHING[:3], np.zeros(0))
+        for a in range(0, len(ids), 8192):
+            bound = towards @ stands[a : a + 8192].T
+            bound += off[None, a : a + 8192]
+            row, col = np.nonzero(~(bound < t))
+            col += a
+            other = q_ids[row] != ids[col]
+            row, col = row[other], col[other]
+            score = products(q, x, row, col)
+            kept = ~(score < least[row])
+            row, col, score = row[kept], col[kept], score[kept]
+            row, id_, uid, score = (np.concatenate(c) for c in zip(best, (row, ids[col], uids[col], score), strict=True))
+            order = np.lexsort((uid, id_, -score, ~np.isnan(score), row))
+            row = row[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            best = (row[first], *(c[order][first] for c in (id_, uid, score)))
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), *map(pa.array, best[1:])], names=["query_id", "vec_id", "uid", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pieces, held = None, [], None
+        for batch in batches:
+            mark = np.stack([plain(batch, "block"), plain(batch, "asks").astype(np.int64)], 1)
+            cuts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist(), len(mark)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if key != (now := mark[a, 0]):
+                    key, pieces, held = now, [], None
+                if not mark[a, 1]:
+                    codes = np.frombuffer(b"".join(piece.column("codes").to_pylist()), np.uint8).reshape(b - a, -1)
+                    pieces.append((plain(piece, "vec_id"), plain(piece, "uid"), vectors(piece), shared.value.decoded(plain(piece, "list"), codes), plain(piece, "bound").astype(np.float32)))
+                    continue
+                if held is None:
+                    if not pieces:  # no rows here
+                        continue
+                    held, pieces = tuple(np.concatenate(c) for c in zip(*pieces, strict=True)), []
+                for c in range(0, b - a, 256):
+                    some = piece.slice(c, 256)
+                    yield scored(vectors(some), plain(some, "vec_id"), plain(some, "bound"), held)
+
+    return put.mapInArrow(tidy(run), "query_id long, vec_id long, uid long, score double")
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.1, rerank: int = 100, least: int = 2000, block_rows: int = 8192) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is divisible by `every`. probe, rerank, least
+    and block_rows change how soon these are found, not which."""
     spark = vectors.sparkSession
     rows = usable(vectors)
     quantiser = fit(rows)
@@ -245,5 +384,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, probe: float = 0.45
     product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0).cast("double"), lambda a, x: a + x)
     exact = best.join(found.select("uid", "vec_id", "v"), "uid").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "uid")
-    exact = exact.select("query_id", "vec_id", "uid", product.alias("score"))
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kth = ranked(exact.select("query_id", "vec_id", "uid", product.alias("score"))).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    asked = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "least")
+    return ranked(checked(found, asked, quantiser, k)).select("query_id", "rank", "vec_id", "score")
